@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .langid import op2_language_id
+from .mixing import op7_mix
+from .reshard import op6_reshard
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
+    "op6_reshard": op6_reshard,
+    "op7_mix": op7_mix,
+}
 ORACLES = {"op1_decontaminate": OP1_SQL}
