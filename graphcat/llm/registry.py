@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op2_language_id
+from .licenses import OP8_SQL, op8_licenses
 from .mixing import op7_mix
+from .pii import op5_pii
 from .reshard import op6_reshard
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
+    "op5_pii": op5_pii,
     "op6_reshard": op6_reshard,
     "op7_mix": op7_mix,
+    "op8_licenses": op8_licenses,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op8_licenses": OP8_SQL}
