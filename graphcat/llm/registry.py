@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op2_language_id
 from .licenses import OP8_SQL, op8_licenses
+from .lm import op10_lattice_lm
 from .mixing import op7_mix
 from .pii import op5_pii
 from .reshard import op6_reshard
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_reshard": op6_reshard,
     "op7_mix": op7_mix,
     "op8_licenses": op8_licenses,
+    "op10_lattice_lm": op10_lattice_lm,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op8_licenses": OP8_SQL}
