@@ -9,6 +9,7 @@ from .lm import op10_lattice_lm
 from .mixing import op7_mix
 from .pii import op5_pii
 from .reshard import op6_reshard
+from .suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_reshard": op6_reshard,
     "op7_mix": op7_mix,
     "op8_licenses": op8_licenses,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lattice_lm": op10_lattice_lm,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op8_licenses": OP8_SQL}
