@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .jaccard import OP3_SQL, op3_jaccard_join
 from .langid import op2_language_id
 from .licenses import OP8_SQL, op8_licenses
 from .lm import op10_lattice_lm
@@ -14,6 +15,7 @@ from .suffix_dedup import op9_suffix_dedup
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_pii": op5_pii,
     "op6_reshard": op6_reshard,
     "op7_mix": op7_mix,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lattice_lm": op10_lattice_lm,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op8_licenses": OP8_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_licenses": OP8_SQL}
