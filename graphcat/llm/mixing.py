@@ -116,11 +116,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     pieces = pieces.select("source", "at", "block", (first - F.col("at")).alias("first"), (F.least(F.col("block") * block + block, F.col("at") + F.col("size")) - first).alias("n"))
     times = slots_of(draws(plan, block, slots, cap, seed), seed).groupBy("source", "block").agg(F.count("*").alias("times"))
     times = times.select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
-    used = pieces.join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    # both sides grow with the words; small shuffle files must not make one a broadcast
+    used = pieces.hint("merge").join(times.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     used = used.groupBy("source", "at").agg(F.sum(F.col("n") * F.col("times")).alias("taken"), F.sort_array(F.collect_list(F.struct(F.col("first").alias("start"), "n", "times"))).alias("pieces"))
     used = used.select(F.col("source").alias("s"), F.col("at").alias("a"), "taken", "pieces")
     # (source, at) names a document that has words
-    out = rows.join(used, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")) & (F.col("size") > 0), "left")
+    out = rows.hint("merge").join(used.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")) & (F.col("size") > 0), "left")
     return out.select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", F.array()).alias("pieces"))
 
 
