@@ -38,7 +38,7 @@ LENGTH = 50
 ANCHOR = 20
 LEFT = LENGTH - ANCHOR  #: the farthest that a window begins before its anchor
 SPAN = 1 << 22  #: bytes looked at together; longer texts in overlapping parts
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 
 
 def _part_anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
