@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .curves import op4_hilbert_ann
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import OP3_SQL, op3_jaccard_join
 from .langid import op2_language_id
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_hilbert_ann": op4_hilbert_ann,
     "op5_pii": op5_pii,
     "op6_reshard": op6_reshard,
     "op7_mix": op7_mix,
