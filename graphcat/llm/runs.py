@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .tables import scratch
 
-RUN_BYTES = 24 << 20
+RUN_BYTES = 12 << 20
 
 
 class Runs:
