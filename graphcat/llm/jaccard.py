@@ -42,6 +42,8 @@ CHUNK = 1 << 14
 #: that and more the combinations; similar sets always have one kind in common.
 SINGLES = 160
 GROUPS = {2: 64, 3: 32}
+#: Prefixes go on for so many keys that similar sets share, if they can.
+SHARED = 4
 FREQUENT, COMMON = 64, 4096  #: above the sketch's mean load
 
 
@@ -106,19 +108,21 @@ def _sketch(facts: DataFrame) -> np.ndarray:
     return out
 
 
-def keys_of(shingles: np.ndarray, estimate: np.ndarray, frequent: int, common: int, percent: int = PERCENT) -> np.ndarray:
-    """The keys of a set's prefix."""
+def keys_of(shingles: np.ndarray, estimate: np.ndarray, frequent: int, common: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The keys of a set's prefix, and how many of them a similar set whose own
+    prefix does not end before has at least."""
     n = len(shingles)
     order = np.lexsort((shingles, estimate))
     h, est = shingles[order], estimate[order]
-    need = n - -(-percent * n // 100) + 1
-    out = []
+    lacks = n - -(-percent * n // 100)
+    need = lacks + SHARED
+    out, least = [], min(need, n) - lacks
     if n <= SINGLES:
         out.append(W.mix(h[:need] ^ np.uint64(0xA1)))
     if 10 * n >= 9 * SINGLES:
         kind = 1 + (est >= frequent) + (est >= common)
         if (kind[:need] == 1).all():
-            return np.concatenate([*out, W.mix(h[:need] ^ np.uint64(0xB1))])
+            return np.concatenate([*out, W.mix(h[:need] ^ np.uint64(0xB1))]), least
         held: dict[tuple[int, int], list[int]] = {}
         single, covered = [], 0
         for x, k in zip(h.tolist(), kind.tolist(), strict=True):
@@ -131,6 +135,7 @@ def keys_of(shingles: np.ndarray, estimate: np.ndarray, frequent: int, common: i
             own = held.setdefault((k, (x >> 7) % GROUPS[k]), [])
             own.append(x)
             covered += len(own) >= k
+        least = min(least, covered - lacks)
         out.append(W.mix(np.array(single, dtype=np.uint64) ^ np.uint64(0xB1)))
         for (k, _), own in held.items():
             if len(own) >= k:
@@ -139,11 +144,11 @@ def keys_of(shingles: np.ndarray, estimate: np.ndarray, frequent: int, common: i
                 for c in range(k):
                     key = W.mix(key * np.uint64(3) + combos[:, c])
                 out.append(key)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(out)), least
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
-    """One row per class: (set, n, typical, keys)."""
+    """One row per class: (set, n, typical, least, keys)."""
     load = sketch.sum() / SKETCH
     floor = int(load + 6 * load**0.5)
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
@@ -158,11 +163,13 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
                     continue
                 seen.add(f)
                 est = shared.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                rows.append((f, len(s), int(est.min()), keys_of(s, est, floor + FREQUENT, floor + COMMON, percent).view(np.int64)))
-            a, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.list_(pa.int64()))], names=["set", "n", "typical", "keys"])
+                keys, least = keys_of(s, est, floor + FREQUENT, floor + COMMON, percent)
+                rows.append((f, len(s), int(est.min()), least, keys.view(np.int64)))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["set", "n", "typical", "least", "keys"])
 
-    return docs.filter("id IS NOT NULL").select("text").mapInArrow(cut, "set long, n long, typical long, keys array<bigint>").dropDuplicates(["set"])
+    return docs.filter("id IS NOT NULL").select("text").mapInArrow(cut, "set long, n long, typical long, least long, keys array<bigint>").dropDuplicates(["set"])
 
 
 def _fits(a: str, b: str, percent: int):
@@ -199,23 +206,27 @@ def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     facts = written(_facts(docs, n))
     rows = facts.filter("chunk IS NULL").select("row", "id", "n", "set")
     classes = rows.filter("id IS NOT NULL AND n > 0").groupBy("set").agg(F.min("id").alias("id"))
-    each = _prefixes(docs, _sketch(facts), n, percent).select("set", "n", "typical", F.explode("keys").alias("key"))
+    each = _prefixes(docs, _sketch(facts), n, percent).select("set", "n", "typical", "least", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     each = each.withColumn("held", F.count("*").over(by_key)).withColumn("pivot", F.max(F.struct("typical", "set", "n")).over(by_key))
-    shared = written(each.filter("held > 1").select("key", "set", "n", F.col("pivot.set").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
+    shared = written(each.filter("held > 1").select("key", "set", "n", "least", F.col("pivot.set").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
     stars = shared.filter("set <> pivot").filter(_fits("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
-    links = written(_verified(written(stars), docs, classes, n, percent))
+    own = written(shared.groupBy("set").agg(F.max("least").alias("least"), F.collect_set("key").alias("keys")))
+    side = lambda c: own.select(F.col("set").alias(c), F.col("least").alias(f"least_{c}"), F.col("keys").alias(f"keys_{c}"))
+    # similar sets share so many keys; that is settled before any set is moved
+    enough = F.size(F.array_intersect("keys_a", "keys_b")) >= F.least("least_a", "least_b")
+    stars = written(stars.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
+    links = written(_verified(stars, docs, classes, n, percent))
     groups = connected(links)
     named = shared.join(groups.select(F.col("node").alias("set"), F.col("component").alias("g")), "set", "left").withColumn("g", F.coalesce("g", "set"))
     named = named.withColumn("mixed", F.min("g").over(by_key) != F.max("g").over(by_key)).withColumn("home", F.max(F.when(F.col("set") == F.col("pivot"), F.col("g"))).over(by_key))
-    named = named.filter("mixed")
-    all_keys = named.groupBy("set").agg(F.collect_set("key").alias("keys"))
-    named = written(named.join(all_keys, "set"))
+    named = written(named.filter("mixed").drop("least").join(own, "set"))
     # a pair is taken at the first key that its sets share
-    x = named.filter("g <> home").select("key", *(F.col(c).alias(f"{c}_x") for c in ("set", "n", "g", "keys")))
-    y = named.filter("set <> pivot").select("key", "home", *(F.col(c).alias(f"{c}_y") for c in ("set", "n", "g", "keys")))
+    x = named.filter("g <> home").select("key", *(F.col(c).alias(f"{c}_x") for c in ("set", "n", "g", "least", "keys")))
+    y = named.filter("set <> pivot").select("key", "home", *(F.col(c).alias(f"{c}_y") for c in ("set", "n", "g", "least", "keys")))
     once = (F.col("g_y") == F.col("home")) | (F.col("set_x") < F.col("set_y"))
-    first = F.array_min(F.array_intersect("keys_x", "keys_y")) == F.col("k_x")
+    common = F.array_intersect("keys_x", "keys_y")
+    first = (F.array_min(common) == F.col("k_x")) & (F.size(common) >= F.least("least_x", "least_y"))
     rest = x.withColumnRenamed("key", "k_x").join(y, (F.col("k_x") == F.col("key")) & (F.col("g_x") != F.col("g_y")) & once & _fits("n_x", "n_y", percent) & first)
     pairs = written(rest.select(F.col("set_x").alias("a"), F.col("set_y").alias("b")).distinct())
     links = links.unionByName(_verified(pairs, docs, classes, n, percent))
