@@ -39,7 +39,7 @@ def consumer_routes(supplied: DataFrame, rules: DataFrame, max_rounds: int = MAX
     seen = frontier = settled(supplied.select(*key).distinct())
     for _ in range(max_rounds):
         one = frontier.join(exact, ["component", "prop"]).select("value_id", F.col("to_component").alias("component"), F.col("to_prop").alias("prop"))
-        more = frontier.join(spread, "component").filter(~F.array_contains("excluded", F.col("prop"))).select("value_id", F.col("to_component").alias("component"), "prop")
+        more = frontier.join(spread, "component").filter(~F.array_contains("excluded", F.col("prop"))).select("value_id", F.col("to_component").alias("component"), F.concat("prop", F.lit("")).alias("prop"))
         frontier = settled(one.union(more).distinct().join(seen, key, "left_anti"))
         if frontier.isEmpty():
             ends = rules.filter("kind = 'render'").select("component", "prop").distinct()

@@ -1,6 +1,6 @@
 """Queries over the derived tables, with their DuckDB twins."""
 
-from . import graph_queries  # noqa: F401
+from . import build_queries, graph_queries  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

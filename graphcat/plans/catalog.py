@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import frames, oracle
+from .fixtures import frames, oracle, view_all
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,13 +18,14 @@ def query(*tables: str, sql: str | None = None, recursive: bool = False):
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            view_all(spark, sf_dir)
             return fn(spark, *frames(spark, sf_dir, *tables))
 
         run.__name__ = run.__qualname__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[fn.__name__] = run
         if sql:
-            ORACLES[fn.__name__] = oracle(sql, *tables, recursive=recursive)
+            ORACLES[fn.__name__] = oracle(sql, *tables, recursive=recursive) if tables else sql
         return fn
 
     return add
