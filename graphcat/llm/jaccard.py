@@ -14,14 +14,16 @@
    of shingles that a similar set can lack.
 4. Sets that share a key are verified against one of them, the most typical,
    not pair by pair. Pairs that share a key and are not connected by what was
-   found so far are then verified one by one. So no link between components is
-   lost, and a large group of near copies costs about its size.
+   found so far are then verified, too, so no link between components is lost.
+   Where a pivot has many sets, that is done by what each differs in from the
+   pivot, which is little in a group of near copies.
 
 Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +44,9 @@ CHUNK = 1 << 14
 #: that and more the combinations; similar sets always have one kind in common.
 SINGLES = 160
 GROUPS = {2: 64, 3: 32}
+#: A pivot whose keys so many sets hold is large: its sets are compared by what
+#: they differ in from it.
+LARGE = 256
 #: Prefixes go on for so many keys that similar sets share, if they can.
 SHARED = 4
 FREQUENT, COMMON = 64, 4096  #: above the sketch's mean load
@@ -87,7 +92,7 @@ def _facts(docs: DataFrame, n: int) -> DataFrame:
         if empty is not None:
             parts = [c for c in range(SKETCH // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
             m = len(parts)
-            blobs = [counts[c * CHUNK : (c + 1) * CHUNK].astype(np.int32).tobytes() for c in parts]
+            blobs = [zlib.compress(counts[c * CHUNK : (c + 1) * CHUNK].astype(np.int32).tobytes(), 1) for c in parts]
             yield pa.RecordBatch.from_arrays([pa.nulls(m, empty.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["row", "id", "n", "set", "chunk", "counts"])
 
     row = T.StructField("row", docs.schema["row"].dataType, True)
@@ -99,7 +104,7 @@ def _sketch(facts: DataFrame) -> np.ndarray:
     """The summed sketch: SKETCH counters, whatever the number of documents."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_buffer(), dtype=np.int32).astype(np.int64) for b in table.column("counts"))
+        total = sum(np.frombuffer(zlib.decompress(b.as_buffer()), dtype=np.int32).astype(np.int64) for b in table.column("counts"))
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(SKETCH, dtype=np.int64)
@@ -176,21 +181,42 @@ def _fits(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, one_of_each: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that are similar."""
+def _full(wanted: DataFrame, docs: DataFrame, one_of_each: DataFrame, n: int) -> DataFrame:
+    """(set, shingles) of the wanted sets (set)."""
 
     def look(batches):
         for batch in batches:
             all_sets = list(sets(batch.column(0), n))
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in all_sets], pa.int64()), pa.array([s.view(np.int64) for s in all_sets], pa.list_(pa.int64()))], names=["set", "shingles"])
 
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(one_of_each, "set").select("id")
-    texts = docs.select("id", "text").join(wanted, "id", "left_semi").select("text")
-    full = texts.mapInArrow(look, "set long, shingles array<bigint>").dropDuplicates(["set"])
-    full = written(full)
-    both = pairs.join(full.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+    ids = wanted.distinct().join(one_of_each, "set").select("id")
+    texts = docs.select("id", "text").join(ids, "id", "left_semi").select("text")
+    return written(texts.mapInArrow(look, "set long, shingles array<bigint>").dropDuplicates(["set"]))
+
+
+def _similar(same, total, percent: int):
+    """Whether sets of so many shingles together have so many in common."""
+    return same * 100 >= (total - same) * percent
+
+
+def _compared(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """pairs (a, b) with both sets' shingles, x and y."""
+    side = lambda c, x: full.select(F.col("set").alias(c), F.col("shingles").alias(x))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that are similar."""
     same = F.size(F.array_intersect("x", "y"))
-    return both.filter(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b")
+    return _compared(pairs, full).filter(_similar(same, F.size("x") + F.size("y"), percent)).select("a", "b")
+
+
+def settled_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b, pivot_n, n, large): each pivot with the other sets of its keys, and
+    whether these are many."""
+    around = shared.filter("set <> pivot").select(F.col("pivot").alias("a"), F.col("set").alias("b"), "pivot_n", "n").distinct()
+    many = around.groupBy("a").count().filter(F.col("count") >= LARGE).select("a", F.lit(True).alias("large"))
+    return written(around.join(many, "a", "left").withColumn("large", F.coalesce("large", F.lit(False))))
 
 
 def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep: list[str] | None = None, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -210,26 +236,43 @@ def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     by_key = Window.partitionBy("key")
     each = each.withColumn("held", F.count("*").over(by_key)).withColumn("pivot", F.max(F.struct("typical", "set", "n")).over(by_key))
     shared = written(each.filter("held > 1").select("key", "set", "n", "least", F.col("pivot.set").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
-    stars = shared.filter("set <> pivot").filter(_fits("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
+    around = settled_pairs(shared)
     own = written(shared.groupBy("set").agg(F.max("least").alias("least"), F.collect_set("key").alias("keys")))
     side = lambda c: own.select(F.col("set").alias(c), F.col("least").alias(f"least_{c}"), F.col("keys").alias(f"keys_{c}"))
     # similar sets share so many keys; that is settled before any set is moved
     enough = F.size(F.array_intersect("keys_a", "keys_b")) >= F.least("least_a", "least_b")
+    stars = around.filter("NOT large").filter(_fits("n", "pivot_n", percent)).select("a", "b")
     stars = written(stars.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
-    links = written(_verified(stars, docs, classes, n, percent))
-    groups = connected(links)
-    named = shared.join(groups.select(F.col("node").alias("set"), F.col("component").alias("g")), "set", "left").withColumn("g", F.coalesce("g", "set"))
+    wide = around.filter("large").select("a", "b", "n")
+    wanted = stars.select(F.col("a").alias("set")).union(stars.select("b")).union(wide.select("a")).union(wide.select("b"))
+    full = _full(wanted, docs, classes, n)
+    apart = written(_compared(wide, full).select("a", "b", "n", F.size("x").alias("pivot_n"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("apart")))
+    near = apart.filter(_similar((F.col("n") + F.col("pivot_n") - F.size("apart")) / 2, F.col("n") + F.col("pivot_n"), percent)).select("a", "b")
+    links = written(_verified(stars, full, percent).union(near))
+    group = connected(links).select(F.col("node").alias("set"), F.col("component").alias("g"))
+    # sets of a large pivot that its component does not hold, against all of its sets
+    placed = apart.join(group.withColumnRenamed("set", "b"), "b", "left").join(group.select(F.col("set").alias("a"), F.col("g").alias("home")), "a", "left")
+    placed = written(placed.select("a", F.col("b").alias("set"), "n", "apart", F.coalesce("g", "b").alias("g"), F.coalesce("home", "a").alias("home")))
+    x = placed.filter("g <> home").select("a", *(F.col(c).alias(f"{c}_x") for c in ("set", "n", "g", "apart")))
+    y = placed.select(F.col("a").alias("a_y"), "home", *(F.col(c).alias(f"{c}_y") for c in ("set", "n", "g", "apart")))
+    once = (F.col("g_y") == F.col("home")) | (F.col("set_x") < F.col("set_y"))
+    total = F.col("n_x") + F.col("n_y")
+    # what two sets differ in, from what each differs in from the pivot
+    between = F.size("apart_x") + F.size("apart_y") - 2 * F.size(F.array_intersect("apart_x", "apart_y"))
+    more = x.join(y, (F.col("a") == F.col("a_y")) & (F.col("g_x") != F.col("g_y")) & once & _fits("n_x", "n_y", percent) & _similar((total - between) / 2, total, percent))
+    links = written(links.union(more.select(F.col("set_x").alias("a"), F.col("set_y").alias("b"))))
+    # the same for keys of other pivots; these hold fewer than LARGE sets
+    others = shared.join(around.filter("large").select(F.col("a").alias("pivot")).distinct(), "pivot", "left_anti")
+    named = others.join(group, "set", "left").withColumn("g", F.coalesce("g", "set"))
     named = named.withColumn("mixed", F.min("g").over(by_key) != F.max("g").over(by_key)).withColumn("home", F.max(F.when(F.col("set") == F.col("pivot"), F.col("g"))).over(by_key))
     named = written(named.filter("mixed").drop("least").join(own, "set"))
-    # a pair is taken at the first key that its sets share
     x = named.filter("g <> home").select("key", *(F.col(c).alias(f"{c}_x") for c in ("set", "n", "g", "least", "keys")))
     y = named.filter("set <> pivot").select("key", "home", *(F.col(c).alias(f"{c}_y") for c in ("set", "n", "g", "least", "keys")))
-    once = (F.col("g_y") == F.col("home")) | (F.col("set_x") < F.col("set_y"))
     common = F.array_intersect("keys_x", "keys_y")
-    first = (F.array_min(common) == F.col("k_x")) & (F.size(common) >= F.least("least_x", "least_y"))
-    rest = x.withColumnRenamed("key", "k_x").join(y, (F.col("k_x") == F.col("key")) & (F.col("g_x") != F.col("g_y")) & once & _fits("n_x", "n_y", percent) & first)
+    rest = x.withColumnRenamed("key", "k_x").join(y, (F.col("k_x") == F.col("key")) & (F.col("g_x") != F.col("g_y")) & once & _fits("n_x", "n_y", percent) & (F.size(common) >= F.least("least_x", "least_y")))
     pairs = written(rest.select(F.col("set_x").alias("a"), F.col("set_y").alias("b")).distinct())
-    links = links.unionByName(_verified(pairs, docs, classes, n, percent))
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b"))
+    links = links.unionByName(_verified(pairs, _full(wanted, docs, classes, n), percent))
     groups = connected(written(links))
     # every class with its component's smallest id
     placed = classes.join(groups.select(F.col("node").alias("set"), F.col("component").alias("g")), "set", "left").withColumn("g", F.coalesce("g", "set"))
