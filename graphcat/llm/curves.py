@@ -176,7 +176,8 @@ class Index:
         return int(near.agg(F.percentile("d", F.lit(recall))).first()[0] or 0) + 1
 
     def candidates(self, width: int, n: int, block: int = BLOCK) -> DataFrame:
-        """For each query class its n best (q, c) of each order and block."""
+        """For each query class its n best (q, c). A block gives one row a query, with
+        its best; these lists are merged by query."""
         rows = self.placed.withColumn("block", F.floor(F.col("place") / block))
         last = self.placed.agg(F.max("place")).first()[0] or 0
         touched = F.sequence(F.floor(F.greatest(F.col("place") - width, F.lit(0)) / block), F.floor(F.least(F.col("place") + width, F.lit(last)) / block))
@@ -184,23 +185,35 @@ class Index:
 
         def look(queries: pa.Table, own: pa.Table) -> pa.Table:
             if not len(queries) or not len(own):
-                return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+                return lists([], [], [])
             names, place, m = own.column("class").to_numpy(), own.column("place").to_numpy(), _matrix(own.column("v"))
             order = np.argsort(names)
             names, place, m = names[order], place[order], m[order]
             q, at, v = queries.column("class_asked").to_numpy(), queries.column("place_asked").to_numpy(), _matrix(queries.column("v_asked"))
-            a, b = [], []
+            b, d = [], []
             for i in range(0, len(q), 512):
                 s = v[i : i + 512] @ m.T
                 s[np.abs(at[i : i + 512][:, None] - place) > width] = -np.inf
                 top = _top(s, names, n)
-                good = np.take_along_axis(s, top, axis=1) > -np.inf
-                a.append(np.repeat(q[i : i + 512], good.sum(axis=1)))
-                b.append(names[top[good]])
-            return pa.table({"q": np.concatenate(a), "c": np.concatenate(b)})
+                best = np.take_along_axis(s, top, axis=1)
+                for r, t in zip(best, top, strict=True):
+                    good = r > -np.inf
+                    b.append(names[t[good]])
+                    d.append(r[good])
+            return lists(q, b, d)
+
+        def lists(q, near, scores) -> pa.Table:
+            return pa.table({"q": pa.array(q, pa.int64()), "near": pa.array(near, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
+
+        def merge(table: pa.Table) -> pa.Table:
+            c, s = table.column("near").combine_chunks().flatten().to_numpy(), table.column("scores").combine_chunks().flatten().to_numpy()
+            # a class found in several orders counts once
+            c, first = np.unique(c, return_index=True)
+            c = c[np.lexsort((c, -s[first]))[:n]]
+            return pa.table({"q": pa.array(np.full(len(c), table.column("q")[0].as_py())), "c": pa.array(c)})
 
         asked = asked.select(*(F.col(c).alias(f"{c}_asked") for c in ("o", "block", "class", "place", "v")))
-        return asked.groupBy("o_asked", "block_asked").cogroup(rows.select("o", "block", "class", "place", "v").groupBy("o", "block")).applyInArrow(look, "q long, c long").distinct()
+        return asked.groupBy("o_asked", "block_asked").cogroup(rows.select("o", "block", "class", "place", "v").groupBy("o", "block")).applyInArrow(look, "q long, near array<bigint>, scores array<double>").groupBy("q").applyInArrow(merge, "q long, c long")
 
 
 def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, recall: float = RECALL, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
