@@ -64,13 +64,13 @@ def segment_interactions(segs: DataFrame, cell: float = CELL) -> DataFrame:
     p = box(cells, "a_").join(box(cells, "b_"), ["artifact_id", "cx", "cy"]).filter("a_segment_id < b_segment_id")
     left, right = F.greatest("a_l", "b_l"), F.least("a_r", "b_r")
     top, low = F.greatest("a_t", "b_t"), F.least("a_b", "b_b")
-    p = p.withColumns({"l": left, "r": right, "t": top, "b": low}).filter((F.col("r") - F.col("l") >= -EPSILON) & (F.col("b") - F.col("t") >= -EPSILON))
+    p = p.withColumns({"l": left, "r": right, "t": top, "low": low}).filter((F.col("r") - F.col("l") >= -EPSILON) & (F.col("low") - F.col("t") >= -EPSILON))
     # a common box narrower than nothing begins a little before its left edge
-    p = p.filter((F.col("cx") == F.floor(F.least("l", "r") / cell)) & (F.col("cy") == F.floor(F.least("t", "b") / cell)))
-    along = F.when(F.col("a_axis") == "horizontal", F.col("r") - F.col("l")).otherwise(F.col("b") - F.col("t"))
+    p = p.filter((F.col("cx") == F.floor(F.least("l", "r") / cell)) & (F.col("cy") == F.floor(F.least("t", "low") / cell)))
+    along = F.when(F.col("a_axis") == "horizontal", F.col("r") - F.col("l")).otherwise(F.col("low") - F.col("t"))
     same = F.col("a_axis") == F.col("b_axis")
     p = p.withColumn("kind", F.when(same & (along > EPSILON), "overlap").when(~same, "crossing")).filter("kind IS NOT NULL")
-    return p.select("artifact_id", F.col("a_segment_id").alias("a"), F.col("b_segment_id").alias("b"), "kind", F.when(same, along).otherwise(0.0).alias("overlap"), "l", "r", "t", "b", F.col("a_axis").alias("axis"))
+    return p.select("artifact_id", F.col("a_segment_id").alias("a"), F.col("b_segment_id").alias("b"), "kind", F.when(same, along).otherwise(0.0).alias("overlap"), "l", "r", "t", "low", F.col("a_axis").alias("axis"))
 
 
 def segment_congestion(segs: DataFrame, cell: float = CELL) -> DataFrame:
@@ -81,7 +81,7 @@ def segment_congestion(segs: DataFrame, cell: float = CELL) -> DataFrame:
     own = segs.select("artifact_id", "segment_id", F.col("axis").alias("own"))
     both = both.join(own, ["artifact_id", "segment_id"])
     flat = F.col("own") == "horizontal"
-    spans = both.filter("kind = 'overlap'").select("artifact_id", "segment_id", F.when(flat, F.col("l")).otherwise(F.col("t")).alias("from"), F.when(flat, F.col("r")).otherwise(F.col("b")).alias("to"))
+    spans = both.filter("kind = 'overlap'").select("artifact_id", "segment_id", F.when(flat, F.col("l")).otherwise(F.col("t")).alias("from"), F.when(flat, F.col("r")).otherwise(F.col("low")).alias("to"))
     w = Window.partitionBy("artifact_id", "segment_id").orderBy("from", "to")
     reach = F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1))
     covered = spans.withColumn("reach", reach).withColumn("new", F.greatest(F.lit(0.0), F.col("to") - F.greatest(F.col("from"), F.coalesce("reach", "from"))))

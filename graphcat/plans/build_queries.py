@@ -253,9 +253,9 @@ def source_href(spark, pages):
 
 
 @query("page_paths", sql="""
-, h AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN replace(href, 'source', 'http') WHEN 1 THEN href || '#L12' WHEN 2 THEN href || '#L12-L7' WHEN 3 THEN href || '#x' WHEN 4 THEN 'source:///../a' WHEN 5 THEN 'nothing' ELSE href || '#L3-9' END AS href FROM page_paths)
-SELECT page_id, CASE WHEN page_id % 7 IN (1, 6) THEN regexp_extract(href, '^source:///([^#]*)', 1) END AS path, CASE page_id % 7 WHEN 1 THEN 12 WHEN 6 THEN 3 END AS line, CASE page_id % 7 WHEN 6 THEN 9 END AS end_line,
-  CASE page_id % 7 WHEN 0 THEN 'scheme' WHEN 2 THEN 'range' WHEN 3 THEN 'fragment' WHEN 4 THEN 'outside' WHEN 5 THEN 'url' END AS error FROM h""")
+, h AS (SELECT page_id, page_id % 7 AS k, href, CASE WHEN page_id % 7 = 0 OR (page_id % 7 NOT IN (4, 5) AND regexp_matches(href, '^[^#]*[?]')) THEN 'scheme' WHEN page_id % 7 = 4 THEN 'outside' WHEN page_id % 7 = 5 THEN 'url'
+  WHEN contains(href, '#') OR page_id % 7 = 3 THEN 'fragment' WHEN page_id % 7 = 2 THEN 'range' END AS error FROM page_paths)
+SELECT page_id, CASE WHEN error IS NULL THEN substr(href, 11) END AS path, CASE WHEN error IS NULL THEN CASE k WHEN 1 THEN 12 WHEN 6 THEN 3 END END AS line, CASE WHEN error IS NULL AND k = 6 THEN 9 END AS end_line, error FROM h""")
 def parse_source_href(spark, pages):
     k = F.col("page_id") % 7
     h = F.when(k == 0, F.replace("href", F.lit("source"), F.lit("http"))).when(k == 1, F.concat("href", F.lit("#L12"))).when(k == 2, F.concat("href", F.lit("#L12-L7"))).when(k == 3, F.concat("href", F.lit("#x"))).when(k == 4, F.lit("source:///../a")).when(k == 5, F.lit("nothing")).otherwise(F.concat("href", F.lit("#L3-9")))
