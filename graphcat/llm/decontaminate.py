@@ -128,7 +128,8 @@ def _probe(docs: DataFrame, block: list, items: list, prefixes: list, lengths: l
 
     def hits(part: W.Words, h: np.ndarray):
         by_n, width, padded, _ = shared.value
-        doc = part.doc
+        doc, none = part.doc, np.zeros(0, np.int64)
+        yield none, none, none
         for n, (lookup, keys, window, offset) in by_n.items():
             at, k = lookup.find(W.shingles(h, part.first, n))
             lo, hi = np.searchsorted(keys, lookup.keys[k], "left"), np.searchsorted(keys, lookup.keys[k], "right")
