@@ -50,7 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mixed_texts(mixing.mix(docs))
+    mixed = mixing.mixed_texts(mixing.mixed_documents(docs))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return mixed.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

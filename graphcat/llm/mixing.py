@@ -35,10 +35,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def offsets(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
+def offsets(docs: DataFrame, text: str, source: str, key: str, keep: list[str] | None = None) -> DataFrame:
     """Each document with the number of words of its source that stand before it:
     (row, source, key, size, crc, at)."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"), word_count(f"`{text}`").alias("size"), F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(-1)).alias("crc"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"), word_count(f"`{text}`").alias("size"), F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(-1)).alias("crc"))
     return rows.withColumn("bucket", F.pmod(F.xxhash64("key", "crc"), F.lit(BUCKETS)).cast("int"))
 
 
@@ -93,15 +93,15 @@ def slots_of(drawn: DataFrame, seed: int) -> DataFrame:
     return each.select("shard", "source", "slot", F.pmod(F.pmod("slot", "blocks") * F.pmod(F.lit(STEP), F.col("blocks")) + turn, F.col("blocks")).alias("block"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int = SLOTS, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """row (all columns), size, source_size, target, taken and pieces: the word
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int = SLOTS, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """row (the columns to keep, or all), size, source_size, target, taken and pieces: the word
     ranges (start, n, times) of the document that stand in blocks, in order.
 
     taken is the number of words that the mix takes, repeats counted. A null or
     empty text has size 0, no pieces and taken 0. Null is a source of its own.
     Repeated rows stand side by side. An empty table gives an empty result.
     """
-    rows = offsets(docs, text, source, key)
+    rows = offsets(docs, text, source, key, keep)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0))
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("start"))
@@ -137,6 +137,24 @@ def mixed_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
     return copies.select("row", "copy", F.when(whole, F.col(f"row.`{text}`")).otherwise(part).alias("text"))
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """mix() of docs with their rows, for mixed_texts(): (row, size, pieces).
+
+    Only keys and counts go through the mix; texts are moved once, to meet
+    their pieces. Rows of one key and text are told apart by a running number;
+    which of them takes which pieces does not matter."""
+    crc = F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(-1))
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), crc.alias("crc"))
+    copy = lambda s: F.row_number().over(Window.partitionBy("source", "key", "crc").orderBy(s))
+    mixed = mix(slim, key="key", keep=["key", "crc", "source"]).select("row.*", "size", "pieces").filter("size(pieces) > 0")
+    mixed = mixed.withColumn("copy", copy("size")).select(*(F.col(c).alias(f"m_{c}") for c in ("key", "crc", "source", "copy")), "size", "pieces")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), crc.alias("crc")).withColumn("copy", copy("crc"))
+    same = F.col("copy") == F.col("m_copy")
+    for c in ("key", "crc", "source"):
+        same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+    return rows.join(mixed.hint("merge"), same).select("row", "size", "pieces")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_counts(docs).select("doc_id", "size", "source_size", "target", "taken")
