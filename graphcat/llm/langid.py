@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .tables import carried, read
+from .tables import carried, read, written
 
 DIMENSIONS = 1024
 N = 3
@@ -123,6 +123,7 @@ def predict(docs: DataFrame, prototypes: DataFrame, text: str = "text", keep: li
     A null text, one without a letter, and every text if there are no
     prototypes, get `und` and 0. Equal cosines go to the smaller language name.
     """
+    prototypes = written(prototypes)
     pairs = prototypes.toArrow().to_pandas() if prototypes.select("lang").distinct().count() <= MAX_LANGUAGES else None
     if pairs is None:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
