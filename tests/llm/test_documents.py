@@ -198,8 +198,9 @@ def test_min_cost_flow_moves_least():
     assert sum(new[o, b] != o for o, b, _ in blocks) == 40
 
 
-def test_mixing(spark, docs, rows, nothing):
-    mixed = mixing.mix(docs, block=8, slots=64)
+@pytest.mark.parametrize("slots", [1 << 17, 64])
+def test_mixing(spark, docs, rows, nothing, slots):
+    mixed = mixing.mix(docs, block=8, slots=slots)
     got = mixed.select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()
     assert len(got) == len(rows)
     for r in got:
@@ -212,10 +213,12 @@ def test_mixing(spark, docs, rows, nothing):
     assert math.isclose(sum(t for _, t, _ in by.values()), 1.5 * total)
     for size, target, taken in by.values():
         assert target <= 2 * size + 1e-6
-        assert abs(taken - target) <= 0.02 * target + 3 * 8
+        # each shard draws a few slots; many small shards add up at random
+        shards = math.ceil(1.5 * total / 8 / slots)
+        assert abs(taken - target) <= 0.01 * target + 8 * (3 + 4 * math.sqrt(shards))
     texts = mixing.mixed_texts(mixed).collect()
     assert sum(len(brute.words(r["text"])) for r in texts) == sum(r["taken"] for r in got)
-    again = mixing.mix(docs, block=8, slots=64).select("row.doc_id", "size", "taken")
+    again = mixing.mix(docs, block=8, slots=slots).select("row.doc_id", "size", "taken")
     assert multiset(mixed.select("row.doc_id", "size", "taken")) == multiset(again)
     assert mixing.mix(nothing).count() == 0
 
