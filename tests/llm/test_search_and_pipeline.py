@@ -20,7 +20,7 @@ def test_search(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((12, 16))
     m = centres[rng.integers(0, 12, 900)] + 0.3 * rng.standard_normal((900, 16))
-    m[100:160] = m[100]
+    m[100:160] = 4 * m[100]  # long, so that it is nearest to itself
     rows = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(m)]
     bad = [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None] * 16), (1080, [1.0]), (None, [1.0] * 16), (1100, [float("inf")] * 16)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
