@@ -8,16 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import glob_regex
 from ..operators.modules import apply_ignore_rules
 
-DEFAULT_INCLUDE = ("**/*.archcomp.json",)
+DEFAULT_INCLUDE = ("**/*.diagram.json",)  #: files beside the central directory; both are parameters
 SKIPPED = (".git", "node_modules")
 
 _REQUIREMENTS = "array<array<struct<controlId:string,value:string>>>"
-ARTIFACT = T._parse_datatype_string(f"""
+ARTIFACT = f"""
 type string, title string, updatedAt string, generator string, instructions string,
 vcs struct<commit:string,branch:string>, links array<struct<text:string,href:string>>,
 diagram struct<layout:struct<id:string,options:map<string,string>>, graph:struct<
@@ -29,7 +28,7 @@ diagram struct<layout:struct<id:string,options:map<string,string>>, graph:struct
   layoutContext:struct<rootNodeIds:array<string>,
     controls:array<struct<controlId:string,type:string,ownerNodeId:string,label:string,polarityPair:boolean,dependsOn:{_REQUIREMENTS},cases:array<struct<caseId:string,label:string>>>>,
     auxiliaryDefinitions:array<struct<definitionId:string,title:string>>>>>
-""")
+"""
 
 # Known layouts, and generators that have a contract of their own.
 LAYOUTS = ("general", "sequence", "dependency-graph", "component-structure")
@@ -42,7 +41,7 @@ def read_texts(spark: SparkSession, root: str, glob: str = "*.json") -> DataFram
     return files.select(F.regexp_replace("_metadata.file_path", "^.*" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"), F.col("value").alias("raw"))
 
 
-def select_paths(paths: DataFrame, include: tuple[str, ...] = DEFAULT_INCLUDE, central: str = ".archcomp", ignore: list[str] | None = None) -> DataFrame:
+def select_paths(paths: DataFrame, include: tuple[str, ...] = DEFAULT_INCLUDE, central: str = "diagrams", ignore: list[str] | None = None) -> DataFrame:
     """JSON files of the central directory, always, and files that match an
     include and are not ignored."""
     wanted = F.lit(False)
@@ -66,7 +65,7 @@ def source_inventory(paths: DataFrame, extensions: tuple[str, ...] = ("ts", "tsx
 def parse_artifacts(texts: DataFrame) -> DataFrame:
     """texts (scope_id, artifact_id, raw) with document, layout_id and error, of
     which one of the last two is null. A flowchart's layout id is flowchart."""
-    schema = T.StructType([*ARTIFACT.fields, T.StructField("_corrupt_record", T.StringType())])
+    schema = f"{ARTIFACT.strip()}, _corrupt_record string"
     d = texts.withColumn("document", F.from_json("raw", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     layout = F.col("document.diagram.layout.id")
     error = (
