@@ -6,7 +6,8 @@ documents, and all but the last return such a table:
 1. language_id drops documents of which no language can be told: null texts,
    texts without a letter, and those as far from all prototypes as noise is.
 2. near_duplicates keeps, of each group of linked documents, the one with the
-   smallest id; documents without an id or without words are linked with none.
+   smallest id; documents are linked if sets of five words in a row have 80 % of
+   their union in common, those without an id or without words with none.
 3. decontaminate drops documents of which a twentieth of the words or more
    stands in benchmark passages.
 4. mix takes each source's share of words. A document comes once for each time
@@ -26,6 +27,8 @@ from graphcat.llm.tables import read, written
 
 #: Below this cosine a text is like none of the languages.
 LEAST_SCORE = 0.05
+#: Words a shingle and percent of the union in common that make a near copy.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.join_groups(docs, keep=["doc_id"]).select("row.doc_id", "component")
+    groups = jaccard.join_groups(docs, keep=["doc_id"], n=NEAR_SHINGLE, percent=NEAR_PERCENT).select("row.doc_id", "component")
     stay = groups.filter("doc_id = component").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     # rows of one id and text are copies, too

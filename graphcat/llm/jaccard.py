@@ -40,10 +40,13 @@ SHINGLE = 3
 PERCENT = 90
 SKETCH = 1 << 20
 CHUNK = 1 << 14
-#: Sets of up to SINGLES shingles have keys of single shingles, those of 9/10 of
-#: that and more the combinations; similar sets always have one kind in common.
+#: Sets of up to singles() shingles, SINGLES at least, have keys of single
+#: shingles, those of percent% of that and more the combinations; similar sets
+#: always have one kind in common.
 SINGLES = 160
 GROUPS = {2: 64, 3: 32}
+#: So many shingles at most are in no combination, as their groups are too small.
+LOST = sum((k - 1) * groups for k, groups in GROUPS.items())
 #: A pivot whose keys so many sets hold is large: its sets are compared by what
 #: they differ in from it.
 LARGE = 256
@@ -113,6 +116,13 @@ def _sketch(facts: DataFrame) -> np.ndarray:
     return out
 
 
+def singles(percent: int) -> int:
+    """The largest set with keys of single shingles. Of two similar sets, one of
+    them larger, more than LOST shingles are common, so a combination is, too,
+    however few shingles a group has."""
+    return max(SINGLES, -(-100 * LOST // percent))
+
+
 def keys_of(shingles: np.ndarray, estimate: np.ndarray, frequent: int, common: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The keys of a set's prefix, and how many of them a similar set whose own
     prefix does not end before has at least."""
@@ -122,9 +132,9 @@ def keys_of(shingles: np.ndarray, estimate: np.ndarray, frequent: int, common: i
     lacks = n - -(-percent * n // 100)
     need = lacks + SHARED
     out, least = [], min(need, n) - lacks
-    if n <= SINGLES:
+    if n <= singles(percent):
         out.append(W.mix(h[:need] ^ np.uint64(0xA1)))
-    if 10 * n >= 9 * SINGLES:
+    if 100 * n >= percent * singles(percent):
         kind = 1 + (est >= frequent) + (est >= common)
         if (kind[:need] == 1).all():
             return np.concatenate([*out, W.mix(h[:need] ^ np.uint64(0xB1))]), least
