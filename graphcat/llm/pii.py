@@ -3,8 +3,9 @@
 Four strict patterns give the base spans, which always stay. Four loose ones
 propose more, overlapping them and each other. Every proposal has features of
 its format and its context, each with a few values. All proposals of all
-documents are counted by features, whether a strict pattern takes the same
-span, and fold: a table whose size is bounded by the features, not by the data.
+documents are counted by features, label, and fold. The label is evidence that
+the strict patterns do not decide: whether the value, brought to its usual
+spelling, passes the checks of its kind as written there. That gives a table whose size is bounded by the features, not by the data.
 Boosted trees are fitted to those counts, become plain column expressions, and
 a proposal is added where its score passes the threshold of its kind, the
 lowest at which the precision on the fold left out of training is met.
@@ -48,7 +49,7 @@ CUES = {
     "card": "card|visa|credit|pay|number",
     "phone": "phone|tel|call|mobile|fax|contact",
 }
-FEATURES = ("kind", "digits", "length", "separators", "checksum", "octets", "plus", "before", "after", "cue")
+FEATURES = ("kind", "digits", "length", "separators", "checksum", "octets", "form", "before", "after", "cue")
 ROUNDS, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.99
 
 
@@ -78,6 +79,41 @@ def passes(kind: str = "kind", value: str = "value") -> Column:
     )
 
 
+def address(value: str = "value") -> Column:
+    """A value with at and dot in brackets spelled as signs."""
+    at = F.regexp_replace(value, r"\x20?[(\[]at[)\]]\x20?", "@")
+    return F.regexp_replace(at, r"\x20?[(\[]dot[)\]]\x20?", ".")
+
+
+def form(kind: str = "kind", value: str = "value") -> Column:
+    """How a value is written: 0 in no usual form of its kind. Of phones, 1 has
+    the area code in brackets, 2 a plus, 3 two zeros and marks between digits."""
+    x = F.col(value)
+    return (
+        F.when(F.col(kind) == "email", address(value).rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$").cast("int"))
+        .when(F.col(kind) == "ip", F.when(x.rlike(r"^[0-9.]+$"), 1).when(x.rlike(r"^[0-9]+(?:\x20\.\x20[0-9]+){3}$"), 2).otherwise(0))
+        .when(F.col(kind) == "card", x.rlike(r"^(?:[0-9]+|[0-9]{4}([\x20./-])[0-9]{4,6}\1[0-9]{4,5}(?:\1[0-9]{1,4})*)$").cast("int"))
+        .when(x.rlike(r"^\([0-9]{2,5}\)[\x20./-]{0,2}[0-9]+(?:[\x20./-][0-9]+)*$"), 1)
+        .when(x.rlike(r"^\+[0-9]+(?:[\x20./-]{0,2}\([0-9]+\))?(?:[\x20./-]{0,2}[0-9]+)*$"), 2)
+        .when(x.rlike(r"^00[0-9]*(?:[\x20./-][0-9]+)+$"), 3)
+        .otherwise(0)
+    )
+
+
+def evidence() -> Column:
+    """The label of a proposal with its features, whatever the strict patterns
+    take: the usual form of its kind, its checks, and no letter or digit that
+    goes on beside it."""
+    n = F.length(digits("value"))
+    checked = (
+        F.when(F.col("kind") == "email", F.lit(True))
+        .when(F.col("kind") == "ip", (F.col("f_octets") == 1) & ((F.col("f_form") == 1) | (F.col("f_cue") == 1)))
+        .when(F.col("kind") == "card", n.between(12, 19) & (F.col("f_checksum") == 1))
+        .otherwise(n.between(9, 15))
+    )
+    return F.coalesce((F.col("f_form") > 0) & (F.col("f_before") != 1) & (F.col("f_after") != 1) & checked, F.lit(False))
+
+
 def proposals(docs: DataFrame, text: str = "text", keep: list[str] | None = None, id_column: str | None = None) -> DataFrame:
     """One row per match of a pattern, and one for each document without any:
     (id, row, fold, strict, kind, value, start, end, before, after)."""
@@ -111,7 +147,7 @@ def with_features(found: DataFrame) -> DataFrame:
             "f_separators": bins(F.size(marks), 1, 2, 3),
             "f_checksum": (n.between(2, 40) & luhn(F.left(digits("value"), F.lit(40)))).cast("int"),
             "f_octets": F.coalesce(octets("value"), F.lit(False)).cast("int"),
-            "f_plus": F.startswith(F.col("value"), F.lit("+")).cast("int"),
+            "f_form": F.coalesce(form(), F.lit(0)),
             "f_before": F.coalesce(word(F.right("before", F.lit(1))), F.lit(0)),
             "f_after": F.coalesce(word(F.left("after", F.lit(1))), F.lit(0)),
             "f_cue": cue.cast("int"),
@@ -204,8 +240,7 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, pre
     """
     found = proposals(docs, text, keep).withColumn("base", F.col("strict") & passes())
     found = found.withColumn("base", F.coalesce("base", F.lit(False)))
-    same = Window.partitionBy("id", "kind", "start", "end")
-    found = written(with_features(found.withColumn("label", F.max("base").over(same))))
+    found = written(with_features(found).withColumn("label", evidence()))
     names = [f"f_{f}" for f in FEATURES]
     # the number of rows is at most the product of the features' values
     cells = found.filter("NOT strict").groupBy("fold", "label", *names).count().collect()
