@@ -73,7 +73,7 @@ class Model:
 
     def __init__(self, runs: Runs, vocabulary: Vocabulary):
         spark = runs.documents.sparkSession
-        n = runs.n
+        n = runs.ranges
         shared = spark.sparkContext.broadcast(vocabulary)
 
         def tell(table: pa.Table) -> pa.Table:
@@ -83,7 +83,7 @@ class Model:
             use = np.flatnonzero(counts)
             _, expected = score(shared.value, data, start[use], end[use], counts[use].astype(np.float64))
             at = cuts(h, n)
-            rows = [(r, run, h[at[r] : at[r + 1]].tobytes(), counts[at[r] : at[r + 1]].tobytes()) for r in range(n) if at[r] < at[r + 1]]
+            rows = [(r, run, h[at[r] : at[r + 1]].tobytes(), counts[at[r] : at[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(at)).tolist()]
             rows.append((-1 - run % 16, run, b"", np.append(expected, learns.sum()).tobytes()))
             return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "run", "keys", "counts"])
 
@@ -124,7 +124,7 @@ def score_documents(docs: DataFrame, learns: Column, text: str = "text", id_colu
     runs = Runs(docs, text, id_column, keep, learns=F.coalesce(learns, F.lit(False)))
     model = Model(runs, load(vocabulary))
     shared = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
-    n, tokens, distinct, ends = runs.n, model.tokens, model.distinct, model.ends
+    tokens, distinct, ends = model.tokens, model.distinct, model.ends
 
     def apply(documents: pa.Table, answers: pa.Table) -> pa.Table:
         table = documents.combine_chunks()

@@ -11,7 +11,7 @@ from .lm import op10_lattice_lm
 from .mixing import op7_mix
 from .pii import op5_pii
 from .reshard import op6_reshard
-from .suffix_dedup import op9_suffix_dedup
+from .suffix_dedup import OP9_SQL, op9_suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lattice_lm": op10_lattice_lm,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_licenses": OP8_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_licenses": OP8_SQL, "op9_suffix_dedup": OP9_SQL}

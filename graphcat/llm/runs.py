@@ -8,7 +8,9 @@ A range combines what the runs say and answers each run, in the run's own key
 order, so an answer needs no keys. A run then reads its documents and its
 answers together.
 
-However often a key occurs, a run sends it once. The deal of the documents is
+However often a key occurs, a run sends it once. There are fewer ranges than
+runs where there are many, and a run sends nothing to a range in which it has
+no keys, so there are never more rows than keys. The deal of the documents is
 kept as a bucketed table in the shared scratch folder, so later passes over
 the runs do not shuffle texts again.
 """
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from .tables import scratch
 
 RUN_BYTES = 12 << 20
+RUNS_A_RANGE = 8  #: beyond 64 ranges, each gets the keys of so many runs' texts
 
 
 class Runs:
-    """documents: (row, text, id, run, ...), n: how many runs there are."""
+    """documents: (row, text, id, run, ...), n: how many runs there are, ranges: how
+    many ranges of keys."""
 
     def __init__(self, docs: DataFrame, text: str, id_column: str, keep: list[str] | None, run_bytes: int = RUN_BYTES, **more):
         spark = docs.sparkSession
@@ -41,14 +45,12 @@ class Runs:
         self.table = f"runs_{uuid.uuid4().hex}"
         rows.repartition(self.n, "run").write.bucketBy(self.n, "run").option("path", f"{scratch(spark)}/runs").saveAsTable(self.table)
         self.documents = spark.table(self.table)
-
-    def ranges(self, keys: np.ndarray) -> np.ndarray:
-        """Where sorted 64-bit keys are cut into n ranges: n + 1 places."""
-        return cuts(keys, self.n)
+        self.ranges = min(self.n, max(64, self.n // RUNS_A_RANGE))
 
 
 def cuts(keys: np.ndarray, n: int) -> np.ndarray:
-    edges = np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
+    """Where sorted 64-bit keys are cut into n ranges: n + 1 places."""
+    edges = np.arange(n, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // n)
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 

@@ -5,18 +5,25 @@ smallest hash; equal windows have it at the same place. Only suffixes that
 start at anchors are sorted, so a window is told by its anchor's suffix and the
 few bytes on the left of it.
 
-1. Runs of documents send the hashes of their anchors; an anchor whose string
-   only one document has is dropped.
+1. Runs of documents send the hashes of their anchors, with how often they
+   have them; an anchor whose string only one document has is dropped.
 2. Runs sort what stands around the anchors that are left, right side first,
    join equal ones, front-code them and send each range of anchors its part.
    A range merges its runs with a loser tree (see suffix_runs), which gives
-   the prefixes that neighbours share, hence the groups of one anchor string.
-   In a group it finds, for each offset of the window, the smallest document
-   that has it, and answers one bit per offset and string of a run: whether
-   that document lies before the run's first.
+   the prefixes that neighbours share, hence the strings with the same bytes
+   from the anchor to a window's end. Among these it finds, for each offset of
+   the window, the smallest document that has the same bytes before the anchor
+   too, and answers one bit per offset and string of a run: whether that
+   document lies before the run's first.
 3. Runs mark the windows and cut the bytes out.
 
-A string that many documents have is sent once by each run.
+A string that many documents have is sent once by each run. An anchor that
+occurs HOT times or more can have that many different surroundings, as at the
+ends of a passage that all documents share. Its windows are sent as suffixes of
+their own, each ranged by all of its bytes, so that no range gets more of one
+anchor than HOT strings, or of one window than a string a run. A run sends a
+row to a range only if it has keys there, so there are never more rows than
+keys.
 """
 
 from __future__ import annotations
@@ -39,6 +46,10 @@ ANCHOR = 20
 LEFT = LENGTH - ANCHOR  #: the farthest that a window begins before its anchor
 SPAN = 1 << 22  #: bytes looked at together; longer texts in overlapping parts
 RUN_BYTES = 8 << 20
+HOT = 4096  #: occurrences of an anchor whose windows are sent one by one
+ONE_RUN = 127  #: a run's count of an anchor goes up to this
+
+_SEVERAL = np.uint8(128)
 
 
 def _part_anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,41 +112,74 @@ class Run:
         self.doc = np.searchsorted(self.offsets, places, side="right") - 1
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes, whether documents of several ids have them,
-        and for each anchor its index among them."""
-        h, inverse = np.unique(self.hash, return_inverse=True)
+        """Sorted distinct hashes; for each how often it occurs, up to ONE_RUN,
+        with _SEVERAL added if documents of several ids have it; and for each
+        anchor its index among them."""
+        h, inverse, counts = np.unique(self.hash, return_inverse=True, return_counts=True)
         ids = self.ids[self.doc]
         low, high = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, ids)
         np.maximum.at(high, inverse, ids)
-        return h, low < high, inverse
+        return h, np.minimum(counts, ONE_RUN).astype(np.uint8) | np.where(low < high, _SEVERAL, np.uint8(0)), inverse
 
-    def keep(self, shared: np.ndarray, inverse: np.ndarray) -> None:
+    def keep(self, shared: np.ndarray, hot: np.ndarray, inverse: np.ndarray) -> None:
         some = shared[inverse]
+        self.hot = hot[inverse][some]
         self._take(self.place[some], self.hash[some])
 
-    def contexts(self):
-        """What stands around each anchor: the bytes from it on, then those
-        before it from right to left, as a padded matrix, with both sizes.
-        Distinct and sorted, with hash, smallest id and each anchor's index."""
+    def strings(self):
+        """What is sent, distinct and sorted by hash, with smallest ids, and
+        which strings the anchors have: (matrix, hashes, low, ordinary, windows).
+
+        A row holds the bytes from a place on, then those before it from right
+        to left, padded, and both sizes. ordinary is (anchors, their strings);
+        windows has, for each offset, (hot anchors with that window, strings).
+        """
+        cold, hot = np.flatnonzero(~self.hot), np.flatnonzero(self.hot)
         right = np.minimum(self.offsets[self.doc + 1] - self.place, LENGTH)
         left = np.minimum(self.place - self.offsets[self.doc], LEFT)
-        wide = np.zeros((len(self.place), LENGTH + LEFT + 2), dtype=np.uint8)
-        for k in range(LENGTH):
-            ok = right > k
-            wide[ok, k] = self.raw[self.place[ok] + k]
-        for k in range(LEFT):
-            ok = left > k
-            wide[ok, LENGTH + k] = self.raw[self.place[ok] - 1 - k]
-        wide[:, -2], wide[:, -1] = right, left
-        if not len(wide):
-            return wide, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # sorted by anchor, so that a range of anchors is one piece of it
-        joined = np.concatenate([self.hash.astype(">u8")[:, None].view(np.uint8), wide], axis=1)
+        parts = [_strings(self.raw, self.place[cold], right[cold], left[cold], self.hash[cold], self.ids[self.doc[cold]])]
+        owners = [cold]
+        for o in range(LEFT + 1):
+            own = hot[(left[hot] >= o) & (right[hot] >= LENGTH - o)]
+            whole, none = np.full(len(own), LENGTH), np.zeros(len(own), np.int64)
+            parts.append(_strings(self.raw, self.place[own] - o, whole, none, None, self.ids[self.doc[own]]))
+            owners.append(own)
+        joined = np.concatenate([p[0] for p in parts])
+        if not len(joined):
+            nowhere = (cold, cold)
+            return joined[:, 8:], np.zeros(0, np.uint64), np.zeros(0, np.int64), nowhere, [nowhere] * (LEFT + 1)
+        # sorted by hash, so that a range is one piece of it
         _, first, inverse = np.unique(_opaque(joined), return_index=True, return_inverse=True)
         low = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(low, inverse, self.ids[self.doc])
-        return wide[first], self.hash[first], low, inverse
+        np.minimum.at(low, inverse, np.concatenate([p[1] for p in parts]))
+        rows = joined[first]
+        at = np.cumsum([0, *(len(p[0]) for p in parts)])
+        of = [(own, inverse[at[k] : at[k + 1]][p[2]]) for k, (own, p) in enumerate(zip(owners, parts, strict=True))]
+        return rows[:, 8:], np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64), low, of[0], of[1:]
+
+
+def _strings(raw: np.ndarray, place: np.ndarray, right: np.ndarray, left: np.ndarray, hashes: np.ndarray | None, ids: np.ndarray):
+    """Distinct rows (hash, string and sizes), their smallest ids, and which one
+    each place has. Without hashes, that of all bytes is taken."""
+    wide = np.zeros((len(place), 8 + LENGTH + LEFT + 2), dtype=np.uint8)
+    for k in range(LENGTH):
+        ok = right > k
+        wide[ok, 8 + k] = raw[place[ok] + k]
+    for k in range(LEFT if len(left) and left.max() else 0):
+        ok = left > k
+        wide[ok, 8 + LENGTH + k] = raw[place[ok] - 1 - k]
+    if not len(place):
+        return wide, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide[:, -2], wide[:, -1] = right, left
+    if hashes is None:
+        up, _ = W.powers(LENGTH + 1)
+        hashes = W.mix((W._BYTE[wide[:, 8 : 8 + LENGTH]] * up[:LENGTH]).sum(axis=1, dtype=np.uint64))
+    wide[:, :8] = hashes.astype(">u8")[:, None].view(np.uint8)
+    _, first, inverse = np.unique(_opaque(wide), return_index=True, return_inverse=True)
+    low = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(low, inverse, ids)
+    return wide[first], low, inverse
 
 
 def _opaque(matrix: np.ndarray) -> np.ndarray:
@@ -143,27 +187,31 @@ def _opaque(matrix: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(matrix).view(np.dtype((np.void, matrix.shape[1]))).ravel()
 
 
-def _first_seen(strings: np.ndarray, group: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For strings with their group's number and smallest id, in merged order:
-    a bit for each offset at which the window occurs with a smaller id."""
+def _first_seen(strings: np.ndarray, shared: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For strings in merged order, with the length of the prefix that each
+    shares with the one before, and smallest ids: a bit for each offset at which
+    the window occurs with a smaller id."""
     right, left = strings[:, -2].astype(np.int64), strings[:, -1].astype(np.int64)
     bits = np.zeros(len(strings), dtype=np.uint32)
-    up, _ = W.powers(LENGTH + LEFT + 1)
-    value = W._BYTE[strings[:, : LENGTH + LEFT]] * up[1 : LENGTH + LEFT + 1]
-    total = np.zeros((len(strings), LENGTH + LEFT + 1), dtype=np.uint64)
-    np.cumsum(value, axis=1, out=total[:, 1:])
-    salt = W.mix(group.astype(np.uint64) + np.uint64(1))
+    up, _ = W.powers(LEFT + 1)
+    before = np.zeros((len(strings), LEFT + 1), dtype=np.uint64)
+    np.cumsum(W._BYTE[strings[:, LENGTH : LENGTH + LEFT]] * up[1 : LEFT + 1], axis=1, out=before[:, 1:])
     for o in range(LEFT + 1):
+        # equal from the anchor to the window's end
+        group = np.cumsum(shared < LENGTH - o)
         some = np.flatnonzero((left >= o) & (right >= LENGTH - o))
+        some = some[np.bincount(group[some], minlength=group[-1] + 1)[group[some]] > 1]
         if not len(some):
             continue
-        key = W.mix(total[some, LENGTH - o] + W.mix(total[some, LENGTH + o] - total[some, LENGTH]) + salt[some])
-        order = np.argsort(key, kind="stable")
-        key, own = key[order], low[some[order]]
+        key = group[some].astype(np.uint64)
+        if o:
+            key = W.mix(before[some, o] + W.mix(key))
+            order = np.argsort(key, kind="stable")
+            key, some = key[order], some[order]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        own = low[some]
         least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(key))))
-        hit = some[order[least < own]]
-        bits[hit] |= np.uint32(1 << o)
+        bits[some[least < own]] |= np.uint32(1 << o)
     return bits
 
 
@@ -171,30 +219,36 @@ def _merged(blobs: list[tuple[bytes, bytes, np.ndarray]]) -> list[np.ndarray]:
     """Merges the runs of a range; for each run its answers in its own order."""
     out = [np.zeros(len(low), dtype=np.uint32) for _, _, low in blobs]
     at = [0] * len(blobs)
-    strings, where, group, g = [], [], [], -1
+    strings, where, lengths = [], [], []
 
     def flush():
-        low = np.array([blobs[r][2][k] for r, k in where], dtype=np.int64)
-        bits = _first_seen(np.frombuffer(b"".join(strings), dtype=np.uint8).reshape(len(strings), -1), np.array(group), low)
-        for (r, k), b in zip(where, bits, strict=True):
-            out[r][k] = b
-        strings.clear(), where.clear(), group.clear()
+        # a run's strings leave the tree in the run's order
+        runs = np.array(where)
+        order = np.argsort(runs, kind="stable")
+        counts = np.bincount(runs, minlength=len(blobs)).tolist()
+        low = np.empty(len(runs), dtype=np.int64)
+        low[order] = np.concatenate([blobs[r][2][at[r] : at[r] + n] for r, n in enumerate(counts)])
+        bits = _first_seen(np.frombuffer(b"".join(strings), dtype=np.uint8).reshape(len(strings), -1), np.array(lengths), low)[order]
+        done = 0
+        for r, n in enumerate(counts):
+            out[r][at[r] : at[r] + n] = bits[done : done + n]
+            at[r] += n
+            done += n
+        strings.clear(), where.clear(), lengths.clear()
 
     for shared, r, string in suffix_runs.merge([b[:2] for b in blobs]):
-        if shared < ANCHOR:
-            if len(strings) >= 1 << 16:  # groups are whole here
-                flush()
-            g += 1
+        if shared < ANCHOR and len(strings) >= 1 << 16:  # groups are whole here
+            flush()
         strings.append(string)
-        where.append((r, at[r]))
-        group.append(g)
-        at[r] += 1
+        where.append(r)
+        lengths.append(shared)
     if strings:
+        lengths[0] = 0
         flush()
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep: list[str] | None = None, hot_from: int = HOT) -> DataFrame:
     """row (the carried columns), n_bytes, removed (maximal runs of removed
     bytes, end exclusive) and kept (the bytes that stay).
 
@@ -204,41 +258,53 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     counts against none.
     """
     runs = Runs(docs, text, id_column, keep, RUN_BYTES)
-    n = runs.n
+    n = runs.ranges
 
     def tell(table: pa.Table) -> pa.Table:
         run = Run(table)
-        h, several, _ = run.distinct()
-        at = cuts(h, n)
-        rows = [(r, table.column("run")[0].as_py(), h[at[r] : at[r + 1]].tobytes(), np.packbits(several[at[r] : at[r + 1]]).tobytes()) for r in range(n) if at[r] < at[r + 1]]
-        return _table(rows, ("range", pa.int32()), ("run", pa.int32()), ("keys", pa.binary()), ("several", pa.binary()))
+        h, seen, _ = run.distinct()
+        at, own = cuts(h, n), table.column("run")[0].as_py()
+        # 48 bits of a key: two strings taken for one are only compared in vain
+        packed = np.ascontiguousarray(h.astype(">u8")[:, None].view(np.uint8)[:, :6])
+        rows = [(int(r), own, packed[at[r] : at[r + 1]].tobytes(), seen[at[r] : at[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(at))]
+        return _table(rows, ("range", pa.int32()), ("run", pa.int32()), ("keys", pa.binary()), ("seen", pa.binary()))
 
     def combine(table: pa.Table) -> pa.Table:
-        keys = unpacked(table.column("keys"), np.uint64)
-        several = np.concatenate([np.unpackbits(s, count=len(k)) for k, s in zip(keys, unpacked(table.column("several"), np.uint8), strict=True)])
-        _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        shared = counts > 1
-        shared[inverse[several > 0]] = True
-        parts = np.split(shared[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"range": table.column("range"), "run": table.column("run"), "shared": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()), "n": pa.array([len(k) for k in keys], pa.int32())})
+        packed = [k.reshape(-1, 6) for k in unpacked(table.column("keys"), np.uint8)]
+        sizes = [len(k) for k in packed]
+        keys = np.zeros((sum(sizes), 8), dtype=np.uint8)
+        keys[:, 2:] = np.concatenate(packed)
+        seen = np.concatenate(unpacked(table.column("seen"), np.uint8))
+        _, inverse, runs = np.unique(keys.view(">u8").ravel().astype(np.uint64), return_inverse=True, return_counts=True)
+        shared = runs > 1
+        shared[inverse[seen >= _SEVERAL]] = True
+        hot = np.bincount(inverse, weights=seen & ~_SEVERAL) >= hot_from
+        parts = np.cumsum(sizes)[:-1]
+        bits = lambda x: pa.array([np.packbits(p).tobytes() for p in np.split(x[inverse], parts)], pa.binary())
+        return pa.table({"range": table.column("range"), "run": table.column("run"), "shared": bits(shared), "hot": bits(hot & shared), "n": pa.array(sizes, pa.int32())})
 
     own = runs.documents.select("run", "id", "text")
-    told = own.groupBy("run").applyInArrow(tell, "range int, run int, keys binary, several binary")
-    shared = written(told.groupBy("range").applyInArrow(combine, "range int, run int, shared binary, n int"))
+    told = own.groupBy("run").applyInArrow(tell, "range int, run int, keys binary, seen binary")
+    shared = written(told.groupBy("range").applyInArrow(combine, "range int, run int, shared binary, hot binary, n int"))
 
     def narrowed(table: pa.Table, answers: pa.Table) -> Run:
         run = Run(table)
         _, _, inverse = run.distinct()
         order = np.argsort(answers.column("range").to_numpy())
-        bits = [np.unpackbits(s, count=k) for s, k in zip(unpacked(answers.column("shared"), np.uint8), answers.column("n").to_pylist(), strict=True)]
-        run.keep(np.concatenate([bits[i] for i in order]).astype(bool) if bits else np.zeros(0, bool), inverse)
+        sizes = answers.column("n").to_pylist()
+
+        def bits(name: str) -> np.ndarray:
+            parts = [np.unpackbits(s, count=k) for s, k in zip(unpacked(answers.column(name), np.uint8), sizes, strict=True)]
+            return np.concatenate([parts[i] for i in order]).astype(bool) if parts else np.zeros(0, bool)
+
+        run.keep(bits("shared"), bits("hot"), inverse)
         return run
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = (("range", pa.int32()), ("run", pa.int32()), ("heads", pa.binary()), ("rests", pa.binary()), ("low", pa.binary()))
         if not len(table):
             return _table([], *kinds)
-        wide, hashes, low, _ = narrowed(table, answers).contexts()
+        wide, hashes, low, _, _ = narrowed(table, answers).strings()
         at, rows = cuts(hashes, n), []
         for r in np.flatnonzero(np.diff(at)):
             part = wide[at[r] : at[r + 1]]
@@ -254,14 +320,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     by_run = shared.groupBy("run")
     sent = own.groupBy("run").cogroup(by_run).applyInArrow(send, "range int, run int, heads binary, rests binary, low binary")
     settled = written(sent.groupBy("range").applyInArrow(settle, "range int, run int, bits binary"))
-    answers = shared.select("run", "range", "shared", "n", F.lit(None).cast("binary").alias("bits")).unionByName(settled.select("run", "range", F.lit(None).cast("binary").alias("shared"), F.lit(None).cast("int").alias("n"), "bits"))
+    answers = shared.withColumn("bits", F.lit(None).cast("binary")).unionByName(settled, allowMissingColumns=True)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         is_first = answers.column("bits").is_null()
         if not len(table):
             return _table([], ("row", table.schema.field("row").type), *_OUT)
         run = narrowed(table, answers.filter(is_first))
-        wide, hashes, low, inverse = run.contexts()
+        wide, hashes, low, ordinary, windows = run.strings()
         bits = np.zeros(len(hashes), dtype=np.uint32)
         at = cuts(hashes, n)
         second = answers.filter(answers.column("bits").is_valid())
@@ -269,15 +335,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
             part = wide[at[r] : at[r + 1]]
             order = np.argsort(_opaque(part), kind="stable")
             bits[at[r] + order] = b
-        own = bits[inverse]
-        own[run.ids[run.doc] > low[inverse]] = np.uint32((1 << (LEFT + 1)) - 1)
+        ids = run.ids[run.doc]
         cover = np.zeros(len(run.raw) + 1, dtype=np.int32)
-        for o in range(LEFT + 1):
-            start = run.place[(own >> np.uint32(o)) & np.uint32(1) > 0] - o
-            doc = run.doc[(own >> np.uint32(o)) & np.uint32(1) > 0]
+
+        def mark(anchors: np.ndarray, o: int) -> None:
+            start, doc = run.place[anchors] - o, run.doc[anchors]
             fits = (start >= run.offsets[doc]) & (start + LENGTH <= run.offsets[doc + 1])
             np.add.at(cover, start[fits], 1)
             np.add.at(cover, start[fits] + LENGTH, -1)
+
+        anchors, string = ordinary
+        own = np.where(ids[anchors] > low[string], np.uint32((1 << (LEFT + 1)) - 1), bits[string])
+        for o in range(LEFT + 1):
+            mark(anchors[(own >> np.uint32(o)) & np.uint32(1) > 0], o)
+            hot, string = windows[o]
+            mark(hot[(ids[hot] > low[string]) | (bits[string] & np.uint32(1) > 0)], o)
         gone = np.cumsum(cover)[:-1] > 0
         removed, kept = [], []
         for a, b in zip(run.offsets[:-1], run.offsets[1:], strict=True):
@@ -302,3 +374,15 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(read(spark, sf_dir, "documents"), keep=["doc_id"])
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("row.doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+p AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * (i + {LENGTH}) <= length(h) THEN substr(h, 2 * i + 1, {2 * LENGTH}) END AS w FROM d, unnest(range(0, length(h) // 2)) AS t(i)),
+f AS (SELECT w, min(doc_id) AS low FROM p WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT p.r, i, b, coalesce(max(CASE WHEN low < doc_id THEN i END) OVER (PARTITION BY p.r ORDER BY i ROWS UNBOUNDED PRECEDING) > i - {LENGTH}, FALSE) AS gone FROM p LEFT JOIN f ON p.w = f.w),
+e AS (SELECT r, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), FALSE) AS opens FROM c),
+s AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN s USING (r)
+"""

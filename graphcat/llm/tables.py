@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,13 @@ def carried(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share. Sets
-    that folder only where it is unset, as in tests."""
+    that folder only where it is unset and there is one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "/tmp/graphcat-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="graphcat-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{uuid.uuid4().hex}"
