@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import scratch
+from .tables import TABLES, scratch
 
 RUN_BYTES = 12 << 20
 RUNS_A_RANGE = 8  #: beyond 64 ranges, each gets the keys of so many runs' texts
@@ -34,7 +34,6 @@ class Runs:
     many ranges of keys."""
 
     def __init__(self, docs: DataFrame, text: str, id_column: str, keep: list[str] | None, run_bytes: int = RUN_BYTES, **more):
-        spark = docs.sparkSession
         row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)))
         rows = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{id_column}`").alias("id"), *(c.alias(name) for name, c in more.items()))
         total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 64)).first()[0] or 0
@@ -42,10 +41,20 @@ class Runs:
         # rows without an id are dealt by their texts, equal ones of both by chance
         key = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("text", F.rand(7)))
         rows = rows.withColumn("run", F.pmod(key, F.lit(self.n)).cast("int"))
-        self.table = f"runs_{uuid.uuid4().hex}"
-        rows.repartition(self.n, "run").write.bucketBy(self.n, "run").option("path", f"{scratch(spark)}/runs").saveAsTable(self.table)
-        self.documents = spark.table(self.table)
-        self.ranges = min(self.n, max(64, self.n // RUNS_A_RANGE))
+        self.documents = bucketed(rows, self.n, "run")
+        self.ranges = ranges(self.n)
+
+
+def bucketed(rows: DataFrame, n: int, column: str) -> DataFrame:
+    """rows, written in n buckets by a column, so that groups of it need no exchange."""
+    table = f"runs_{uuid.uuid4().hex}"
+    rows.repartition(n, column).write.bucketBy(n, column).option("path", f"{scratch(rows.sparkSession)}/runs").saveAsTable(table)
+    TABLES.append(table)
+    return rows.sparkSession.table(table)
+
+
+def ranges(runs: int) -> int:
+    return min(runs, max(64, runs // RUNS_A_RANGE))
 
 
 def cuts(keys: np.ndarray, n: int) -> np.ndarray:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables and folders made for results that may still be read; see forget().
+TABLES: list[str] = []
+FOLDERS: list[str] = []
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -31,7 +35,18 @@ def scratch(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{uuid.uuid4().hex}"
+    FOLDERS.append(f"{base}/{uuid.uuid4().hex}")
+    return FOLDERS[-1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Drops all scratch tables and folders that this process made. Results of
+    the operators read them until they are written, so call it after that."""
+    while TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop()}")
+    while FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
