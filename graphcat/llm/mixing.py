@@ -1,11 +1,19 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source are packed, document after document, into blocks of a
-fixed length. Each output shard has a number of slots; how many of them each
-source gets is drawn: the whole part of the expectation, and a multinomial draw
-for the slots that are left. The j-th slot of a source takes the block at place
-j of a pseudorandom permutation of the source's blocks, and starts anew when it
-has gone through all. Slots and documents meet by block index.
+fixed length. The mix has as many slots for a source as its target asks for,
+and output shards of a fixed number of slots. Which slots a shard gets is drawn:
+the slots of all sources are numbered through and a pseudorandom permutation of
+those numbers is cut into shards, so the counts of the sources in a shard are
+multinomial, given that all shards together meet the targets. The j-th slot of a
+source takes the block at place j of a pseudorandom permutation of the source's
+blocks; having gone through all, it starts anew with another permutation. Slots
+and documents meet by block index.
+
+The permutations are swap-or-not shuffles: in each of some rounds a number x of n
+is paired with the one at the other end of a drawn sum, and a bit drawn for the
+pair says whether x becomes that one. That is a permutation of any n, keyed by
+source, without a table.
 
 Running totals are taken within hashed buckets of a source and joined to the
 buckets' offsets, so that a source of any size never stands in one task.
@@ -16,17 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import read, written
 
 BLOCK = 64  #: words in a block
-SLOTS = 1 << 17  #: slots in an output shard, about 8 million words
+SLOTS = 1 << 14  #: slots in an output shard, about a million words
 BUCKETS = 256  #: of a source, for running totals
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 SEED = 17
-#: A prime above any number of blocks here, so that it has no divisor in common with one.
-STEP = 2147483647
+ROUNDS = 12  #: of a permutation
+CHUNK = 1 << 14  #: slots that one row stands for at first
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -61,36 +69,52 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     return s.select("source", "source_size", F.least(cap * F.col("source_size").cast("double"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """The place of x, from 0 to n - 1, in a permutation of n that depends on key."""
+
+    def swap_or_not(now: Column, r: Column) -> Column:
+        # least and greatest of the pair stay the same if x is the other one
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - now, n)
+        return F.when(F.xxhash64(key, r, F.greatest(now, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(now)
+
+    return F.aggregate(F.array(*map(F.lit, range(rounds))), x.cast("long"), swap_or_not)
+
+
+def slots_in_all(plan: DataFrame, block: int, cap: int, seed: int) -> DataFrame:
+    """(source, blocks, slots, offset, all) from (source, source_size, target):
+    slots of each source, rounded by a draw, up to cap times its blocks; and how
+    many slots the sources before it, and all, have. One row a source."""
+    s = plan.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
+    draw = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    slots = F.floor(F.col("target") / F.col("source_size") * F.col("blocks") + draw)
+    s = s.withColumn("slots", F.least(cap * F.col("blocks"), slots).cast("long"))
+    before = F.coalesce(F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_first()).rowsBetween(*_BEFORE)), F.lit(0))
+    return s.select("source", "blocks", "slots", before.alias("offset"), F.sum("slots").over(Window.partitionBy()).alias("all"))
+
+
 def draws(plan: DataFrame, block: int, slots: int, cap: int, seed: int) -> DataFrame:
     """Slots of each source in each output shard: (source, blocks, shard, from, n).
 
     from is the source's first slot there, counted over all shards."""
-    s = plan.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
-    s = s.withColumn("slots", F.col("target") * F.col("blocks") / F.col("source_size"))
-    one = s.agg(F.sum("slots").alias("all"), F.sort_array(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), "source", "blocks", "slots"))).alias("sources")).filter("all > 0")
-    shards = F.ceil(F.col("all") / slots)
-    one = one.withColumn("shards", shards).withColumn("mean", F.transform("sources", lambda x: x["slots"] / F.col("shards")))
-    one = one.withColumn("left", F.transform("mean", lambda m: m - F.floor(m)))
-    one = one.withColumn("up_to", F.transform(F.sequence(F.lit(1), F.size("left")), lambda i: F.aggregate(F.slice("left", 1, i), F.lit(0.0), lambda a, b: a + b)))
-    one = one.withColumn("total", F.element_at("up_to", -1)).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    uniform = lambda i: F.pmod(F.xxhash64(F.lit(seed), "shard", i), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("total")
-    # rounded with a draw of its own, so that shards together get what is left of all
-    left = F.floor(F.col("total") + F.pmod(F.xxhash64(F.lit(seed + 1), "shard"), F.lit(1 << 40)) / F.lit(float(1 << 40))).cast("int")
-    drawn = F.when(left > 0, F.transform(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), lambda i: F.size(F.filter("up_to", lambda c: c <= uniform(i))))).otherwise(F.array().cast("array<int>"))
-    one = one.withColumn("drawn", drawn)
-    each = one.select("shard", "drawn", "mean", F.posexplode("sources").alias("k", "s"))
-    n = F.floor(F.element_at("mean", F.col("k") + 1)) + F.size(F.filter("drawn", lambda d: d == F.col("k")))
-    each = each.select("shard", F.col("s.source").alias("source"), F.col("s.blocks").alias("blocks"), n.alias("n"))
+    s = slots_in_all(plan, block, cap, seed).filter("slots > 0")
+    chunks = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))
+    # by number, as small rows that stand for many slots must not be put together
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(tasks, "source", "chunk")
+    first, last = F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK)
+    each = chunks.select("source", "blocks", "all", F.explode(F.sequence(F.col("offset") + first, F.col("offset") + last - 1)).alias("number"))
+    shard = F.floor(permuted(F.col("number"), F.col("all"), F.lit(seed + 1)) / slots)
+    counts = each.select("source", "blocks", shard.alias("shard")).groupBy("source", "blocks", "shard").agg(F.count("*").alias("n"))
     start = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(*_BEFORE)), F.lit(0))
-    each = each.withColumn("from", start)
-    return each.withColumn("n", F.least("n", cap * F.col("blocks") - F.col("from"))).filter("n > 0")
+    return counts.withColumn("from", start).repartition(tasks, "source", "shard")
 
 
 def slots_of(drawn: DataFrame, seed: int) -> DataFrame:
     """(shard, source, slot, block): the block that each slot takes."""
     each = drawn.withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)))
-    turn = F.pmod(F.xxhash64("source", F.lit(seed)), F.col("blocks"))
-    return each.select("shard", "source", "slot", F.pmod(F.pmod("slot", "blocks") * F.pmod(F.lit(STEP), F.col("blocks")) + turn, F.col("blocks")).alias("block"))
+    turn = F.floor(F.col("slot") / F.col("blocks"))
+    each = each.withColumn("key", F.xxhash64("source", turn, F.lit(seed + 2)))
+    return each.select("shard", "source", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("key")).alias("block"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int = SLOTS, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
@@ -101,7 +125,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     empty text has size 0, no pieces and taken 0. Null is a source of its own.
     Repeated rows stand side by side. An empty table gives an empty result.
     """
-    rows = offsets(docs, text, source, key, keep)
+    # words are counted once
+    rows = written(offsets(docs, text, source, key, keep))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(*_BEFORE)), F.lit(0))
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("start"))
@@ -156,9 +181,4 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_counts(docs).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def mix_counts(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("row.doc_id", "row.source", "size", "source_size", "target", "taken")
+    return mix(read(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
