@@ -3,16 +3,21 @@
 Four strict patterns give the base spans, which always stay. Four loose ones
 propose more, overlapping them and each other. Every proposal has features of
 its format and its context, each with a few values. All proposals of all
-documents are counted by features, label, and fold. The label is evidence that
-the strict patterns do not decide: whether the value, brought to its usual
-spelling, passes the checks of its kind as written there. That gives a table whose size is bounded by the features, not by the data.
+documents are counted by features, label, and fold, which gives a table whose
+size is bounded by the features, not by the data.
+
+The label is evidence that neither the strict patterns nor the features hold:
+the value is brought to its usual spelling and put to the checks of its kind
+(the address ends in letters, the checksum holds, parts are below 256, there are
+as many digits as a number can have). Features are only how a value is written
+and what stands around it, so the trees learn which ways of writing belong to
+values that pass, and take a value that is written that way.
 Boosted trees are fitted to those counts, become plain column expressions, and
 a proposal is added where its score passes the threshold of its kind, the
 lowest at which the precision on the fold left out of training is met.
 
-Places are found without walking a text: the pieces between matches come from
-split(), the matches from regexp_extract_all(), and running sums of their
-lengths give the code points.
+Places are found without walking a text: every match is put between marks, the
+text is split there, and running sums of lengths give the code points.
 """
 
 from __future__ import annotations
@@ -29,11 +34,12 @@ KINDS = ("email", "ip", "card", "phone")
 # The base patterns, as the contract gives them. Possessive loops and the
 # look-behinds take the same matches and keep long runs linear: a match that
 # fails from the start of a run fails from any later place in it, but where the
-# match before it ended within the run (\G).
+# match before it ended within the run (\G). A card has twelve digits at least; a
+# run with fewer has no match from any place in it.
 STRICT = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -42,6 +48,9 @@ LOOSE = {
     "card": r"[0-9](?:[\x20./-]?[0-9]){7,}+",
     "phone": r"(?:\+|\(|\b00)[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+",
 }
+#: What a text with a match holds; cheaper to look for than the match.
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+MARK, OTHER_MARK = "\x01", "\x02"  #: in no pattern
 CONTEXT = 24  #: code points on either side that give features
 CUES = {
     "email": "mail|contact|write|@",
@@ -49,7 +58,7 @@ CUES = {
     "card": "card|visa|credit|pay|number",
     "phone": "phone|tel|call|mobile|fax|contact",
 }
-FEATURES = ("kind", "digits", "length", "separators", "checksum", "octets", "form", "before", "after", "cue")
+FEATURES = ("kind", "digits", "length", "separators", "kinds", "opens", "even", "before", "after", "cue")
 ROUNDS, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.99
 
 
@@ -85,44 +94,38 @@ def address(value: str = "value") -> Column:
     return F.regexp_replace(at, r"\x20?[(\[]dot[)\]]\x20?", ".")
 
 
-def form(kind: str = "kind", value: str = "value") -> Column:
-    """How a value is written: 0 in no usual form of its kind. Of phones, 1 has
-    the area code in brackets, 2 a plus, 3 two zeros and marks between digits."""
-    x = F.col(value)
-    return (
-        F.when(F.col(kind) == "email", address(value).rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$").cast("int"))
-        .when(F.col(kind) == "ip", F.when(x.rlike(r"^[0-9.]+$"), 1).when(x.rlike(r"^[0-9]+(?:\x20\.\x20[0-9]+){3}$"), 2).otherwise(0))
-        .when(F.col(kind) == "card", x.rlike(r"^(?:[0-9]+|[0-9]{4}([\x20./-])[0-9]{4,6}\1[0-9]{4,5}(?:\1[0-9]{1,4})*)$").cast("int"))
-        .when(x.rlike(r"^\([0-9]{2,5}\)[\x20./-]{0,2}[0-9]+(?:[\x20./-][0-9]+)*$"), 1)
-        .when(x.rlike(r"^\+[0-9]+(?:[\x20./-]{0,2}\([0-9]+\))?(?:[\x20./-]{0,2}[0-9]+)*$"), 2)
-        .when(x.rlike(r"^00[0-9]*(?:[\x20./-][0-9]+)+$"), 3)
-        .otherwise(0)
-    )
-
-
 def evidence() -> Column:
-    """The label of a proposal with its features, whatever the strict patterns
-    take: the usual form of its kind, its checks, and no letter or digit that
+    """The label of a proposal, whatever the strict patterns take: in its usual
+    spelling the value passes the checks of its kind, and no letter or digit
     goes on beside it."""
     n = F.length(digits("value"))
+    ends = F.coalesce(F.right("before", F.lit(1)).rlike("[A-Za-z0-9]"), F.lit(False)) | F.coalesce(F.left("after", F.lit(1)).rlike("[A-Za-z0-9]"), F.lit(False))
     checked = (
-        F.when(F.col("kind") == "email", F.lit(True))
-        .when(F.col("kind") == "ip", (F.col("f_octets") == 1) & ((F.col("f_form") == 1) | (F.col("f_cue") == 1)))
-        .when(F.col("kind") == "card", n.between(12, 19) & (F.col("f_checksum") == 1))
+        F.when(F.col("kind") == "email", address("value").rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"))
+        .when(F.col("kind") == "ip", octets("value") & (n >= 6))
+        .when(F.col("kind") == "card", n.between(12, 19) & luhn(digits("value")))
         .otherwise(n.between(9, 15))
     )
-    return F.coalesce((F.col("f_form") > 0) & (F.col("f_before") != 1) & (F.col("f_after") != 1) & checked, F.lit(False))
+    return F.coalesce(checked & ~ends, F.lit(False))
 
 
 def proposals(docs: DataFrame, text: str = "text", keep: list[str] | None = None, id_column: str | None = None) -> DataFrame:
     """One row per match of a pattern, and one for each document without any:
     (id, row, fold, strict, kind, value, start, end, before, after)."""
-    docs = carried(docs, text, keep).withColumns({"id": F.monotonically_increasing_id(), "text": F.coalesce("text", F.lit(""))})
+    plain = F.translate(F.coalesce("text", F.lit("")), MARK, OTHER_MARK)
+    docs = carried(docs, text, keep).withColumns({"id": F.monotonically_increasing_id(), "text": plain})
     docs = docs.withColumn("fold", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0))
-    found = [F.struct(F.lit(strict).alias("strict"), F.lit(kind).alias("kind"), F.split("text", p, -1).alias("between"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found")) for strict, patterns in ((True, STRICT), (False, LOOSE)) for kind, p in patterns.items()]
-    lists = docs.select("id", "row", "fold", F.explode_outer(F.filter(F.array(*found), lambda x: F.size(x["found"]) > 0)).alias("x"))
-    cut = F.transform(F.arrays_zip(F.col("x.between").alias("b"), F.col("x.found").alias("f")), lambda z: F.struct(F.length(z["b"]).alias("gap"), F.left(z["b"], F.lit(CONTEXT)).alias("head"), F.right(z["b"], F.lit(CONTEXT)).alias("tail"), z["f"].alias("value")))
-    each = lists.select("id", "row", "fold", F.col("x.strict").alias("strict"), F.col("x.kind").alias("kind"), F.posexplode_outer(cut).alias("i", "m")).repartition("id")
+
+    def parts(strict: bool, kind: str, pattern: str) -> Column:
+        """The text before the first match, the match, the text after it, and so on."""
+        cut = F.split(F.regexp_replace("text", pattern, f"{MARK}$0{MARK}"), MARK, -1)
+        return F.when(F.contains("text", F.lit(NEEDS[kind])), cut) if strict and NEEDS[kind] else cut
+
+    found = [F.struct(F.lit(strict).alias("strict"), F.lit(kind).alias("kind"), parts(strict, kind, p).alias("parts")) for strict, patterns in ((True, STRICT), (False, LOOSE)) for kind, p in patterns.items()]
+    lists = docs.select("id", "row", "fold", F.explode_outer(F.filter(F.array(*found), lambda x: F.size(x["parts"]) > 1)).alias("x"))
+    at = lambda i: F.get("x.parts", i)
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size("x.parts") / 2).cast("int")), lambda i: F.struct(F.length(at(2 * i)).alias("gap"), F.left(at(2 * i), F.lit(CONTEXT)).alias("head"), F.right(at(2 * i), F.lit(CONTEXT)).alias("tail"), at(2 * i + 1).alias("value")))
+    each = lists.select("id", "row", "fold", F.col("x.strict").alias("strict"), F.col("x.kind").alias("kind"), F.posexplode_outer(F.when(F.col("x.kind").isNotNull(), cut)).alias("i", "m")).repartition("id")
     by_place = Window.partitionBy("id", "strict", "kind").orderBy("i")
     size = F.coalesce(F.length("m.value"), F.lit(0))
     each = each.withColumn("end", F.sum(F.col("m.gap") + size).over(by_place)).withColumn("after", F.lead("m.head").over(by_place))
@@ -134,7 +137,8 @@ def with_features(found: DataFrame) -> DataFrame:
     """Adds the features, small integers."""
     n, size = F.length(digits("value")), F.length("value")
     bins = lambda x, *cuts: sum(((x >= c).cast("int") for c in cuts), F.lit(0))
-    marks = F.array_distinct(F.regexp_extract_all("value", F.lit(r"[^A-Za-z0-9]"), F.lit(0)))
+    marks = F.regexp_extract_all("value", F.lit(r"[^A-Za-z0-9]+"), F.lit(0))
+    groups = F.filter(F.split("value", "[^0-9]+", -1), lambda g: g != "")
     cue = F.lit(False)
     for kind, words in CUES.items():
         cue = cue | ((F.col("kind") == kind) & F.lower("before").rlike(words))
@@ -142,12 +146,13 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns(
         {
             "f_kind": F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int"),
-            "f_digits": bins(n, 1, 7, 9, 12, 16, 20),
+            "f_digits": bins(n, 1, 7, 9, 11, 12, 13, 15, 16, 17, 20),
             "f_length": bins(size, 8, 12, 16, 20, 32, 64),
-            "f_separators": bins(F.size(marks), 1, 2, 3),
-            "f_checksum": (n.between(2, 40) & luhn(F.left(digits("value"), F.lit(40)))).cast("int"),
-            "f_octets": F.coalesce(octets("value"), F.lit(False)).cast("int"),
-            "f_form": F.coalesce(form(), F.lit(0)),
+            "f_separators": bins(F.size(marks), 1, 2, 3, 4, 5),
+            "f_kinds": bins(F.size(F.array_distinct(marks)), 1, 2, 3),
+            "f_opens": F.when(F.startswith("value", F.lit("+")), 1).when(F.startswith("value", F.lit("(")), 2).when(F.startswith("value", F.lit("00")), 3).when(F.contains("value", F.lit("]")), 4).otherwise(0),
+            # groups of digits of one length, as cards have
+            "f_even": ((F.size(groups) > 1) & (F.size(F.array_distinct(F.transform(groups, F.length))) == 1)).cast("int"),
             "f_before": F.coalesce(word(F.right("before", F.lit(1))), F.lit(0)),
             "f_after": F.coalesce(word(F.left("after", F.lit(1))), F.lit(0)),
             "f_cue": cue.cast("int"),
@@ -273,4 +278,4 @@ def redacted(found: DataFrame, text: str = "row.text", spans: str = "spans") ->
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents"), keep=["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("row.doc_id", *(count(k) for k in KINDS), F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
+    return found.select("row.doc_id", *(count(k) for k in KINDS), F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
