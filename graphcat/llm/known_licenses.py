@@ -1,7 +1,10 @@
-"""Texts of licences and of the notices that point to them."""
+"""Texts of licences and of the notices that point to them. Long ones lie in the
+folder texts, one file a licence, as published."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 # Licence texts and notices, as published.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -23,6 +26,38 @@ NOTICES = [
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+    ),
+    (
+        "GPL-2.0-or-later",
+        """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    ),
+    (
+        "GPL-3.0-or-later",
+        """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    ),
 ]
 
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
@@ -85,7 +120,12 @@ misrepresented as being the original software.
     ),
 ]
 
-#: Spellings that count as one.
+_FILES = {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "texts").glob("*.txt"))}
+_BSD = _FILES["BSD-3-Clause"].replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR").replace("of the University", "of the copyright holder")
+_CLAUSE = _BSD[_BSD.index("3. Neither") : _BSD.index("THIS SOFTWARE")]
+TEXTS += [*_FILES.items(), ("BSD-3-Clause", _BSD), ("BSD-2-Clause", _BSD.replace(_CLAUSE, "\n"))]
+
+# Spellings that count as equal.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"),
     ("authorised", "authorized"),
