@@ -167,11 +167,8 @@ def ordered(shingles: np.ndarray, estimate: np.ndarray) -> np.ndarray:
 
 def keys_of(shingles: np.ndarray, estimate: np.ndarray, frequent: int, common: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The keys of a set's prefixes, and how many of them a similar set whose own
-    prefix does not end before has at least. A set that can have no similar one
-    has no keys."""
+    prefix does not end before has at least."""
     n = len(shingles)
-    if not can_link(n, percent):
-        return np.zeros(0, dtype=np.uint64), 1
     order = ordered(shingles, estimate)
     h, est = shingles[order], estimate[order]
     lacks = n - -(-percent * n // 100)
@@ -194,7 +191,7 @@ def keys_of(shingles: np.ndarray, estimate: np.ndarray, frequent: int, common: i
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, shared, n: int, percent: int) -> DataFrame:
-    """One row per class: (set, n, typical, least, keys)."""
+    """One row per class that can have a similar one: (set, n, typical, least, keys)."""
     load = sketch.sum() / SKETCH
     floor = int(load + 6 * load**0.5)
 
@@ -204,7 +201,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, shared, n: int, percent: int)
             rows = []
             for s in sets(batch.column(0), n):
                 f = fingerprint(s)
-                if not len(s) or f in seen:
+                if f in seen or not can_link(len(s), percent):
                     continue
                 seen.add(f)
                 est = shared.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
@@ -375,7 +372,7 @@ def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     sketch = _sketch(facts)
     estimates = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
     parts = max(1, -(-facts.filter("n > 0").count() // PART))
-    prefixes = _prefixes(docs, sketch, estimates, n, percent).filter("size(keys) > 0").withColumn("part", F.pmod("set", F.lit(parts)).cast("int"))
+    prefixes = _prefixes(docs, sketch, estimates, n, percent).withColumn("part", F.pmod("set", F.lit(parts)).cast("int"))
     each = written(_held_by_several(bucketed(prefixes, parts, "part"), parts))
     heads = each.groupBy("key").agg(F.count("*").alias("held"), F.max(F.struct("typical", "set", "n")).alias("pivot")).filter("held > 1")
     shared = written(each.join(heads, "key").select("key", "set", "n", "least", F.col("pivot.set").alias("pivot"), F.col("pivot.n").alias("pivot_n")))

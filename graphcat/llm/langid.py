@@ -29,6 +29,7 @@ N = 3
 UNKNOWN = "und"
 MAX_LANGUAGES = 8192  #: prototypes that are broadcast: 32 MB at most
 ROWS = 256  #: documents bundled at a time
+GRAMS = 4096  #: distinct n-grams whose vectors are made at a time
 
 
 @cache
@@ -92,10 +93,17 @@ def ngram_counts(column: pa.Array):
 
 
 def _bundles(owner: np.ndarray, owners: int, grams: np.ndarray, index: np.ndarray, dimensions: int) -> np.ndarray:
-    if not len(grams):
-        return np.zeros((owners, dimensions), dtype=np.float32)
-    counts = np.bincount(owner * len(grams) + index, minlength=owners * len(grams)).reshape(owners, len(grams))
-    return counts.astype(np.float32) @ ngram_vectors(grams, dimensions)
+    """The bundle of each owner. Vectors of GRAMS n-grams at a time, so memory
+    does not grow with a text."""
+    out = np.zeros((owners, dimensions), dtype=np.float32)
+    order = np.argsort(index, kind="stable")
+    owner, index = owner[order], index[order]
+    for a in range(0, len(grams), GRAMS):
+        n = min(GRAMS, len(grams) - a)
+        lo, hi = np.searchsorted(index, [a, a + n])
+        counts = np.bincount(owner[lo:hi] * n + index[lo:hi] - a, minlength=owners * n).reshape(owners, n)
+        out += counts.astype(np.float32) @ ngram_vectors(grams[a : a + n], dimensions)
+    return out
 
 
 def train(labelled: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:

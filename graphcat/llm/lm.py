@@ -28,6 +28,8 @@ from .tables import read, written
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PRIOR = 1000.0
 SMOOTH = 0.1
+SUMMED = 64  #: runs whose expected counts are added up in one group
+UNIT = 1 << 20  #: of an expected count
 
 
 def load(path: str = VOCABULARY) -> Vocabulary:
@@ -67,6 +69,13 @@ def _run_words(texts, learns: np.ndarray | None):
     return h, n, np.concatenate(data), np.concatenate(start)[at], np.concatenate(end)[at]
 
 
+def _pieces(batches):
+    """Rows (piece, n) of vectors of counts."""
+    for batch in batches:
+        for v in unpacked(batch.column(0), np.int64):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["piece", "n"])
+
+
 class Model:
     """What the training documents say: the fitted vocabulary and, for each run,
     its words' counts over all training documents."""
@@ -84,7 +93,8 @@ class Model:
             _, expected = score(shared.value, data, start[use], end[use], counts[use].astype(np.float64))
             at = cuts(h, n)
             rows = [(r, run, h[at[r] : at[r + 1]].tobytes(), counts[at[r] : at[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(at)).tolist()]
-            rows.append((-1 - run % 16, run, b"", np.append(expected, learns.sum()).tobytes()))
+            # whole numbers, so that their sum does not depend on its order
+            rows.append((-1 - run // SUMMED, run, b"", np.rint(np.append(expected, learns.sum()) * UNIT).astype(np.int64).tobytes()))
             return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "run", "keys", "counts"])
 
         told = runs.documents.select("run", "learns", "text").groupBy("run").applyInArrow(tell, "range int, run int, keys binary, counts binary")
@@ -92,7 +102,7 @@ class Model:
         def combine(table: pa.Table) -> pa.Table:
             r = table.column("range")[0].as_py()
             if r < 0:
-                total = np.sum(unpacked(table.column("counts"), np.float64), axis=0)
+                total = np.sum(unpacked(table.column("counts"), np.int64), axis=0)
                 return pa.table({"range": pa.array([r], pa.int32()), "run": pa.array([-1], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary()), "tokens": pa.array([0], pa.int64()), "distinct": pa.array([0], pa.int64())})
             keys, counts = unpacked(table.column("keys"), np.uint64), unpacked(table.column("counts"), np.int64)
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -104,9 +114,12 @@ class Model:
 
         self.answers = written(told.groupBy("range").applyInArrow(combine, "range int, run int, counts binary, tokens long, distinct long"))
         sums = self.answers.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-        # at most 16 rows, each as long as the vocabulary
-        expected = sum((np.frombuffer(r["counts"]) for r in self.answers.filter("range < 0").select("counts").collect()), np.zeros(len(vocabulary.weights) + 1))
-        self.ends = int(expected[-1])
+        # sums of SUMMED runs each, added up piece by piece; one row a piece
+        pieces = self.answers.filter("range < 0").select("counts").mapInArrow(_pieces, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        expected = np.zeros(len(vocabulary.weights) + 1)
+        for r in pieces:
+            expected[r["piece"]] = r["n"] / UNIT
+        self.ends = round(expected[-1])
         self.tokens = (sums["tokens"] or 0) + self.ends
         self.distinct = (sums["distinct"] or 0) + (self.ends > 0)
         mass = expected[:-1] + PRIOR * np.exp(vocabulary.weights)
