@@ -18,6 +18,7 @@ the runs do not shuffle texts again.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,11 +32,12 @@ RUNS_A_RANGE = 8  #: beyond 64 ranges, each gets the keys of so many runs' texts
 
 class Runs:
     """documents: (row, text, id, run, ...), n: how many runs there are, ranges: how
-    many ranges of keys."""
+    many ranges of keys. prepare adds columns to the rows before they are dealt."""
 
-    def __init__(self, docs: DataFrame, text: str, id_column: str, keep: list[str] | None, run_bytes: int = RUN_BYTES, **more):
+    def __init__(self, docs: DataFrame, text: str, id_column: str, keep: list[str] | None, run_bytes: int = RUN_BYTES, prepare: Callable[[DataFrame], DataFrame] | None = None, **more):
         row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)))
         rows = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{id_column}`").alias("id"), *(c.alias(name) for name, c in more.items()))
+        rows = prepare(rows) if prepare else rows
         total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 64)).first()[0] or 0
         self.n = max(1, -(-total // run_bytes))
         # rows without an id are dealt by their texts, equal ones of both by chance
@@ -57,10 +59,14 @@ def ranges(runs: int) -> int:
     return min(runs, max(64, runs // RUNS_A_RANGE))
 
 
+def edges(n: int) -> np.ndarray:
+    """The smallest 64-bit key of each of n ranges."""
+    return np.arange(n, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // n)
+
+
 def cuts(keys: np.ndarray, n: int) -> np.ndarray:
     """Where sorted 64-bit keys are cut into n ranges: n + 1 places."""
-    edges = np.arange(n, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // n)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+    return np.append(np.searchsorted(keys, edges(n)), len(keys))
 
 
 def unpacked(column, dtype) -> list[np.ndarray]:

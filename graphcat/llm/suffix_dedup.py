@@ -38,25 +38,27 @@ from pyspark.sql import types as T
 
 from . import suffix_runs
 from . import words as W
-from .runs import Runs, cuts, unpacked
+from .runs import Runs, cuts, edges, unpacked
 from .tables import read, written
 
 LENGTH = 50
 ANCHOR = 20
 LEFT = LENGTH - ANCHOR  #: the farthest that a window begins before its anchor
-SPAN = 1 << 22  #: bytes looked at together; longer texts in overlapping parts
+SPAN = 1 << 18  #: bytes of one text that are hashed together, in overlapping parts
+PIECE = 1 << 16  #: bytes of several texts that are hashed together
 RUN_BYTES = 8 << 20
 HOT = 4096  #: occurrences of an anchor whose windows are sent one by one
+WIDTH = LENGTH + LEFT + 2  #: of a string with its sizes
 ONE_RUN = 127  #: a run's count of an anchor goes up to this
 
 _SEVERAL = np.uint8(128)
 
 
-def _part_anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors of texts that lie at data[at[i]:at[i + 1]]: (places, hashes)."""
+def _part_anchors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the anchors of texts that lie at data[at[i]:at[i + 1]]."""
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     up, down = W.powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(W._BYTE[data] * up[:-1], out=total[1:])
@@ -73,24 +75,52 @@ def _part_anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     long = np.diff(at) >= LENGTH
     np.add.at(inside, at[:-1][long], 1)
     np.add.at(inside, at[1:][long] - LENGTH + 1, -1)
-    places = np.unique((least & low)[np.cumsum(inside)[: len(least)] > 0]).astype(np.int64)
-    return places, h[places]
+    return np.unique((least & low)[np.cumsum(inside)[: len(least)] > 0]).astype(np.int64)
 
 
-def anchors(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors of all texts of a column, as (places in raw, hashes)."""
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for i, j in W.slices(offsets):
+def anchors(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Places in raw of the anchors of all texts of a column."""
+    places = [np.zeros(0, np.int64)]
+    for i, j in W.slices(offsets, PIECE):
         a, b = int(offsets[i]), int(offsets[j])
         for start in range(a, max(a + 1, b - LENGTH + 1), SPAN):
             end = min(b, start + SPAN + LENGTH - 1)
             # a long text stands alone in its slice
             at = offsets[i : j + 1] - a if start == a and end == b else np.array([0, end - start])
-            p, h = _part_anchors(raw[start:end], at)
-            places.append(p + start)
-            hashes.append(h)
-    p, first = np.unique(np.concatenate(places), return_index=True)
-    return p, np.concatenate(hashes)[first]
+            places.append(_part_anchors(raw[start:end], at) + start)
+    return np.unique(np.concatenate(places))
+
+
+def _with_places(rows: DataFrame) -> DataFrame:
+    """Adds places: the steps from a text's start to its first anchor, and from
+    anchor to anchor, none longer than LEFT + 1, a byte each."""
+
+    def look(batches):
+        for batch in batches:
+            offsets, raw = W.buffers(batch.column(batch.schema.get_field_index("text")))
+            found = anchors(offsets, raw)
+            first = np.searchsorted(found, offsets)
+            steps = np.diff(found, prepend=0)
+            some = np.flatnonzero(np.diff(first))
+            steps[first[some]] = found[first[some]] - offsets[some]
+            places = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(steps.astype(np.uint8))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, places], names=[*batch.schema.names, "places"])
+
+    return rows.mapInArrow(look, T.StructType([*rows.schema.fields, T.StructField("places", T.BinaryType())]))
+
+
+def _hashes(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of the anchors at places, some bytes at a time."""
+    out = np.empty(len(places), dtype=np.uint64)
+    for start in range(0, len(raw), PIECE):
+        i, j = np.searchsorted(places, [start, start + PIECE])
+        data, at = raw[start : start + PIECE + ANCHOR], places[i:j] - start
+        up, down = W.powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(W._BYTE[data] * up[:-1], out=total[1:])
+        out[i:j] = W.mix((total[at + ANCHOR] - total[at]) * down[at])
+    # anchors have small hashes, so these are spread again before they deal out ranges
+    return W.mix(out + np.uint64(1))
 
 
 class Run:
@@ -102,10 +132,15 @@ class Run:
         ids = table.column("id")
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy()
-        places, hashes = anchors(self.offsets, self.raw)
-        self._take(places, hashes)
+        steps = table.column("places").chunk(0) if table.column("places").num_chunks else pa.array([], pa.binary())
+        first = np.frombuffer(steps.buffers()[1], dtype=np.int32)[steps.offset : steps.offset + len(steps) + 1] if len(steps) else np.zeros(1, np.int32)
+        sums = np.concatenate([[0], np.cumsum(np.frombuffer(steps.buffers()[2] or b"", dtype=np.uint8)[first[0] : first[-1]], dtype=np.int64)])
+        first = first - first[0]
+        counts = np.diff(first)
+        places = np.repeat(self.offsets[:-1] - sums[first[:-1]], counts) + sums[1:]
+        self._take(places, _hashes(self.raw, places))
         keep = self.known[self.doc]
-        self._take(places[keep], hashes[keep])
+        self._take(places[keep], self.hash[keep])
 
     def _take(self, places: np.ndarray, hashes: np.ndarray) -> None:
         self.place, self.hash = places, hashes
@@ -127,9 +162,10 @@ class Run:
         self.hot = hot[inverse][some]
         self._take(self.place[some], self.hash[some])
 
-    def strings(self):
-        """What is sent, distinct and sorted by hash, with smallest ids, and
-        which strings the anchors have: (matrix, hashes, low, ordinary, windows).
+    def strings(self, n: int):
+        """What is sent to n ranges: (matrix, places at which the ranges are cut,
+        low, ordinary, windows). Distinct and sorted in each range; low has the
+        smallest ids.
 
         A row holds the bytes from a place on, then those before it from right
         to left, padded, and both sizes. ordinary is (anchors, their strings);
@@ -138,48 +174,57 @@ class Run:
         cold, hot = np.flatnonzero(~self.hot), np.flatnonzero(self.hot)
         right = np.minimum(self.offsets[self.doc + 1] - self.place, LENGTH)
         left = np.minimum(self.place - self.offsets[self.doc], LEFT)
-        parts = [_strings(self.raw, self.place[cold], right[cold], left[cold], self.hash[cold], self.ids[self.doc[cold]])]
+        padded = np.concatenate([np.zeros(LEFT, np.uint8), self.raw, np.zeros(LENGTH, np.uint8)])
+        around = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)
+        parts = [_strings(around[self.place[cold]], right[cold], left[cold], self.hash[cold], self.ids[self.doc[cold]])]
         owners = [cold]
-        for o in range(LEFT + 1):
+        for o in range(LEFT + 1 if len(hot) else 0):
             own = hot[(left[hot] >= o) & (right[hot] >= LENGTH - o)]
             whole, none = np.full(len(own), LENGTH), np.zeros(len(own), np.int64)
-            parts.append(_strings(self.raw, self.place[own] - o, whole, none, None, self.ids[self.doc[own]]))
+            parts.append(_strings(around[self.place[own] - o], whole, none, None, self.ids[self.doc[own]]))
             owners.append(own)
-        joined = np.concatenate([p[0] for p in parts])
-        if not len(joined):
-            nowhere = (cold, cold)
-            return joined[:, 8:], np.zeros(0, np.uint64), np.zeros(0, np.int64), nowhere, [nowhere] * (LEFT + 1)
-        # sorted by hash, so that a range is one piece of it
-        _, first, inverse = np.unique(_opaque(joined), return_index=True, return_inverse=True)
-        low = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(low, inverse, np.concatenate([p[1] for p in parts]))
+        joined, low, key = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, low)
         rows = joined[first]
-        at = np.cumsum([0, *(len(p[0]) for p in parts)])
-        of = [(own, inverse[at[k] : at[k + 1]][p[2]]) for k, (own, p) in enumerate(zip(owners, parts, strict=True))]
-        return rows[:, 8:], np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64), low, of[0], of[1:]
-
-
-def _strings(raw: np.ndarray, place: np.ndarray, right: np.ndarray, left: np.ndarray, hashes: np.ndarray | None, ids: np.ndarray):
-    """Distinct rows (hash, string and sizes), their smallest ids, and which one
-    each place has. Without hashes, that of all bytes is taken."""
-    wide = np.zeros((len(place), 8 + LENGTH + LEFT + 2), dtype=np.uint8)
-    for k in range(LENGTH):
-        ok = right > k
-        wide[ok, 8 + k] = raw[place[ok] + k]
-    for k in range(LEFT if len(left) and left.max() else 0):
-        ok = left > k
-        wide[ok, 8 + LENGTH + k] = raw[place[ok] - 1 - k]
-    if not len(place):
-        return wide, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    wide[:, -2], wide[:, -1] = right, left
+        # the range's number in place of the hash, then the string
+        hashes = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
+        rows[:, :8] = (np.searchsorted(edges(n), hashes, side="right") - 1).astype(">u8")[:, None].view(np.uint8)
+        order = np.argsort(_opaque(rows), kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        rows = rows[order]
+        at = np.searchsorted(np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.int64), np.arange(n + 1))
+        ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+        of = [(own, place[same[ends[k] : ends[k + 1]]][p[3]]) for k, (own, p) in enumerate(zip(owners, parts, strict=True))]
+        return rows[:, 8 : 8 + WIDTH], at, least[order], of[0], of[1:]
+
+
+def _strings(around: np.ndarray, right: np.ndarray, left: np.ndarray, hashes: np.ndarray | None, ids: np.ndarray):
+    """Distinct rows (hash, string, sizes, nothing), their smallest ids, what
+    tells them apart, and which one each place has. Without hashes, that of all
+    bytes of the string is taken."""
+    wide = np.zeros((len(around), 8 + WIDTH + -WIDTH % 8), dtype=np.uint8)
+    wide[:, 8 : 8 + LENGTH] = around[:, LEFT:]
+    wide[:, 8 + LENGTH : 8 + LENGTH + LEFT] = around[:, LEFT - 1 :: -1] if LEFT else 0
+    for size, start, full in ((right, 8, LENGTH), (left, 8 + LENGTH, LEFT)):
+        short = np.flatnonzero(size < full)
+        cut = np.where(np.arange(full) < size[short, None], wide[short, start : start + full], 0)
+        wide[short, start : start + full] = cut
+    wide[:, 8 + WIDTH - 2], wide[:, 8 + WIDTH - 1] = right, left
+    if hashes is not None:
+        wide[:, :8] = hashes.astype(">u8")[:, None].view(np.uint8)
+    words = wide.view(np.uint64)
+    key = np.zeros(len(wide), dtype=np.uint64)
+    for k in range(words.shape[1]):
+        key = W.mix(key + words[:, k])
     if hashes is None:
-        up, _ = W.powers(LENGTH + 1)
-        hashes = W.mix((W._BYTE[wide[:, 8 : 8 + LENGTH]] * up[:LENGTH]).sum(axis=1, dtype=np.uint64))
-    wide[:, :8] = hashes.astype(">u8")[:, None].view(np.uint8)
-    _, first, inverse = np.unique(_opaque(wide), return_index=True, return_inverse=True)
+        wide[:, :8] = key.astype(">u8")[:, None].view(np.uint8)
+    key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
     low = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(low, inverse, ids)
-    return wide[first], low, inverse
+    return wide[first], low, key, inverse
 
 
 def _opaque(matrix: np.ndarray) -> np.ndarray:
@@ -257,7 +302,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     one id do not count against each other. A row without id stays whole and
     counts against none.
     """
-    runs = Runs(docs, text, id_column, keep, RUN_BYTES)
+    runs = Runs(docs, text, id_column, keep, RUN_BYTES, _with_places)
     n = runs.ranges
 
     def tell(table: pa.Table) -> pa.Table:
@@ -283,9 +328,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         bits = lambda x: pa.array([np.packbits(p).tobytes() for p in np.split(x[inverse], parts)], pa.binary())
         return pa.table({"range": table.column("range"), "run": table.column("run"), "shared": bits(shared), "hot": bits(hot & shared), "n": pa.array(sizes, pa.int32())})
 
-    own = runs.documents.select("run", "id", "text")
+    own = runs.documents.select("run", "id", "text", "places")
     told = own.groupBy("run").applyInArrow(tell, "range int, run int, keys binary, seen binary")
-    shared = written(told.groupBy("range").applyInArrow(combine, "range int, run int, shared binary, hot binary, n int"))
+    shared = written(told.repartition(n, "range").groupBy("range").applyInArrow(combine, "range int, run int, shared binary, hot binary, n int"))
 
     def narrowed(table: pa.Table, answers: pa.Table) -> Run:
         run = Run(table)
@@ -304,13 +349,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         kinds = (("range", pa.int32()), ("run", pa.int32()), ("heads", pa.binary()), ("rests", pa.binary()), ("low", pa.binary()))
         if not len(table):
             return _table([], *kinds)
-        wide, hashes, low, _, _ = narrowed(table, answers).strings()
-        at, rows = cuts(hashes, n), []
+        wide, at, low, _, _ = narrowed(table, answers).strings(n)
+        rows = []
         for r in np.flatnonzero(np.diff(at)):
             part = wide[at[r] : at[r + 1]]
-            order = np.argsort(_opaque(part), kind="stable")
-            heads, rests = suffix_runs.encode(part[order], np.full(len(part), part.shape[1]))
-            rows.append((int(r), table.column("run")[0].as_py(), heads, rests, low[at[r] : at[r + 1]][order].tobytes()))
+            heads, rests = suffix_runs.encode(part, np.full(len(part), part.shape[1]))
+            rows.append((int(r), table.column("run")[0].as_py(), heads, rests, low[at[r] : at[r + 1]].tobytes()))
         return _table(rows, *kinds)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -319,7 +363,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
     by_run = shared.groupBy("run")
     sent = own.groupBy("run").cogroup(by_run).applyInArrow(send, "range int, run int, heads binary, rests binary, low binary")
-    settled = written(sent.groupBy("range").applyInArrow(settle, "range int, run int, bits binary"))
+    settled = written(sent.repartition(n, "range").groupBy("range").applyInArrow(settle, "range int, run int, bits binary"))
     answers = shared.withColumn("bits", F.lit(None).cast("binary")).unionByName(settled, allowMissingColumns=True)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -327,30 +371,29 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         if not len(table):
             return _table([], ("row", table.schema.field("row").type), *_OUT)
         run = narrowed(table, answers.filter(is_first))
-        wide, hashes, low, ordinary, windows = run.strings()
-        bits = np.zeros(len(hashes), dtype=np.uint32)
-        at = cuts(hashes, n)
+        _, at, low, ordinary, windows = run.strings(n)
+        bits = np.zeros(len(low), dtype=np.uint32)
         second = answers.filter(answers.column("bits").is_valid())
         for r, b in zip(second.column("range").to_pylist(), unpacked(second.column("bits"), np.uint32), strict=True):
-            part = wide[at[r] : at[r + 1]]
-            order = np.argsort(_opaque(part), kind="stable")
-            bits[at[r] + order] = b
+            bits[at[r] : at[r + 1]] = b
         ids = run.ids[run.doc]
-        cover = np.zeros(len(run.raw) + 1, dtype=np.int32)
+        starts = []
 
         def mark(anchors: np.ndarray, o: int) -> None:
             start, doc = run.place[anchors] - o, run.doc[anchors]
-            fits = (start >= run.offsets[doc]) & (start + LENGTH <= run.offsets[doc + 1])
-            np.add.at(cover, start[fits], 1)
-            np.add.at(cover, start[fits] + LENGTH, -1)
+            starts.append(start[(start >= run.offsets[doc]) & (start + LENGTH <= run.offsets[doc + 1])])
 
         anchors, string = ordinary
         own = np.where(ids[anchors] > low[string], np.uint32((1 << (LEFT + 1)) - 1), bits[string])
         for o in range(LEFT + 1):
             mark(anchors[(own >> np.uint32(o)) & np.uint32(1) > 0], o)
-            hot, string = windows[o]
+            hot, string = windows[o] if windows else (anchors[:0], string[:0])
             mark(hot[(ids[hot] > low[string]) | (bits[string] & np.uint32(1) > 0)], o)
-        gone = np.cumsum(cover)[:-1] > 0
+        opens = np.zeros(len(run.raw) + 1, dtype=np.int8)
+        opens[np.concatenate(starts)] = 1
+        # a byte goes if a window starts at it or at one of the bytes before it
+        last = np.maximum.accumulate(np.where(opens[:-1], np.arange(len(run.raw), dtype=np.int32), np.int32(-LENGTH)))
+        gone = np.arange(len(run.raw)) - last < LENGTH
         removed, kept = [], []
         for a, b in zip(run.offsets[:-1], run.offsets[1:], strict=True):
             mask = gone[a:b]
@@ -360,7 +403,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         return pa.Table.from_arrays([run.table.column("row"), pa.array(np.diff(run.offsets)), pa.array(removed, _OUT[1][1]), pa.array(kept, pa.binary())], names=["row", "n_bytes", "removed", "kept"])
 
     schema = T.StructType([runs.documents.schema["row"], *T._parse_datatype_string("n_bytes long, removed array<struct<start:int,end:int>>, kept binary").fields])
-    return runs.documents.select("row", "text", "id", "run").groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(cut, schema)
+    return runs.documents.select("row", "text", "id", "places", "run").groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(cut, schema)
 
 
 _OUT = (("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary()))

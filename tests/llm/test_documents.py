@@ -102,8 +102,10 @@ def test_jaccard_nulls_and_empty(spark, nothing):
     assert jaccard.join_groups(nothing).count() == 0
 
 
-def test_suffix_dedup(docs, rows):
-    got = suffix_dedup.remove_repeats(docs, keep=["doc_id"]).collect()
+@pytest.mark.parametrize("hot_from", [suffix_dedup.HOT, 3, 0])
+def test_suffix_dedup(docs, rows, hot_from):
+    """Also with windows of anchors that occur thrice, or of all, sent one by one."""
+    got = suffix_dedup.remove_repeats(docs, keep=["doc_id"], hot_from=hot_from).collect()
     got = collections.Counter((r["row"]["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got)
     assert got == collections.Counter(brute.repeats([(d, t) for d, t, *_ in rows]))
 
