@@ -7,30 +7,55 @@ a count of the rows that changed, and raise when they do not come to an end.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-MAX_ROUNDS = 200
+#: Against steps that never end; a finite table ends before, however deep it is.
+MAX_ROUNDS = 1 << 20
+PARTS = 8  #: tables of rounds that are kept apart before they become one
+
+
+def _base(spark: SparkSession) -> str:
+    """The folder that all executors share. Sets one only where none is set and
+    there is one machine, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="graphcat-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed and written to the checkpoint folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        # only where the cluster names none, as in tests
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/graphcat-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(_base(spark))
     return df.checkpoint(eager=True)
 
 
 def closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """All rows reached from seed; step maps the newest rows to their
-    successors, of which only keys not seen before go on."""
-    seen = frontier = settled(seed.dropDuplicates(key))
+    successors, of which only keys not seen before go on. A round writes its new
+    rows only; now and then those of several rounds become one table."""
+    frontier = settled(seed.dropDuplicates(key))
+    seen = [frontier]
     for _ in range(max_rounds):
-        frontier = settled(step(frontier).dropDuplicates(key).join(seen, key, "left_anti"))
+        before = reduce(DataFrame.unionByName, seen)
+        frontier = settled(step(frontier).dropDuplicates(key).join(before, key, "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = settled(seen.unionByName(frontier))
+            return before
+        seen.append(frontier)
+        if len(seen) > PARTS:
+            seen = [settled(reduce(DataFrame.unionByName, seen))]
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -33,7 +33,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 WITH l AS (
   SELECT l_orderkey, l_partkey,
          ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
-  FROM lineitem WHERE l_orderkey % 19 = 0)
+  FROM lineitem)
 SELECT DISTINCT a.l_partkey AS source_id, b.l_partkey AS target_id
 FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 1
 """,

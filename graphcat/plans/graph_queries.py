@@ -208,12 +208,17 @@ def merge_equivalent_contexts(spark, edges):
     return G.merge_equivalent(nodes.withColumn("label", (F.col("node_id") % 4).cast("string")), e.withColumn("label", F.col("target_id") % 3)).select("node_id", "representative")
 
 
-@query("flow_edges")
+@query("flow_edges", recursive=True, sql=_RANKS + """
+, st AS (SELECT component, min(node_id) AS root FROM scc WHERE component NOT IN (SELECT t FROM ce) GROUP BY component),
+rr AS (SELECT root, root AS x FROM st UNION SELECT root, e.target_id FROM rr JOIN flow_edges e ON e.source_id = rr.x)
+SELECT root, count(*) - 1 AS descendants, max(rank) AS depth FROM rr JOIN scc ON scc.node_id = rr.x JOIN rk USING (component) GROUP BY root""")
 def route_metrics(spark, edges):
-    """Descendants and longest way of each node that starts a route: roots."""
+    """Descendants and longest way of each start of routes: the first node of each
+    component that nothing else leads to."""
     nodes, e = _flow(edges)
     ranks = G.settled(G.dependency_rank(nodes, e))
-    roots = nodes.join(e.select("artifact_id", F.col("target_id").alias("node_id")), ["artifact_id", "node_id"], "left_anti")
+    first = G.source_components(e, G.settled(G.strongly_connected(nodes, e)))
+    roots = first.groupBy("artifact_id", "component").agg(F.min("node_id").alias("node_id"))
     # every root is a scenario of its own
     out = G.settled(roots.select("artifact_id", F.col("node_id").alias("root"), "node_id"))
     step = lambda f: f.join(e.select("artifact_id", F.col("source_id").alias("node_id"), "target_id"), ["artifact_id", "node_id"]).select("artifact_id", "root", F.col("target_id").alias("node_id"))

@@ -38,7 +38,11 @@ GENERATORS = {"built-in:flowchart": "flowchart"}
 def read_texts(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """(path, raw): whole files below root, by path relative to it."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    return files.select(F.regexp_replace("_metadata.file_path", "^.*" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"), F.col("value").alias("raw"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    resolved = folder.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(folder).toUri().getPath().rstrip("/")
+    # file paths are URLs: decoded, without scheme and host, they begin with the root
+    path = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:(//[^/]*)?/", "/")
+    return files.select(F.substr(path, F.lit(len(resolved) + 2)).alias("path"), F.col("value").alias("raw"))
 
 
 def select_paths(paths: DataFrame, include: tuple[str, ...] = DEFAULT_INCLUDE, central: str = "diagrams", ignore: list[str] | None = None) -> DataFrame:
@@ -108,18 +112,21 @@ def explode_graph(parsed: DataFrame) -> dict[str, DataFrame]:
     edges = each(d, "g.edges", ("edgeId", "edge_id"), ("type", "type"), ("sourceNodeId", "source_node_id"), ("targetNodeId", "target_node_id"), ("label", "label"), ("kind", "kind"), ("href", "href"), ("messageType", "message_type"), ("activeWhen", "active_when"))
     controls = each(d, "g.layoutContext.controls", ("controlId", "control_id"), ("type", "type"), ("ownerNodeId", "owner_node_id"), ("label", "label"), ("polarityPair", "polarity_pair"), ("dependsOn", "depends_on"), ("cases", "cases"))
     rules = edges.filter("active_when IS NOT NULL").select(*key, "edge_id", F.posexplode("active_when").alias("rule_ix", "rule")).select(*key, "edge_id", "rule_ix", F.posexplode("rule").alias("req_ix", "q"))
+    prerequisites = controls.select(*key, "control_id", F.posexplode("depends_on").alias("rule_ix", "rule")).select(*key, "control_id", "rule_ix", F.posexplode("rule").alias("req_ix", "q"))
     return {
         "groups": with_defaults("groups", groups),
         "nodes": with_defaults("nodes", nodes.drop("activations", "branches", "links")),
         "edges": with_defaults("edges", edges.drop("active_when")),
         "activations": each(nodes, "activations", ("activationId", "activation_id"), ("startsAt.messageId", "start_message_id"), ("startsAt.endpoint", "start_endpoint"), ("endsAt.messageId", "end_message_id"), ("endsAt.endpoint", "end_endpoint"), more=("node_id",)),
         "branches": each(nodes.withColumnRenamed("node_id", "fragment_id"), "branches", ("branchId", "branch_id"), ("label", "label"), ("startMessageId", "start_message_id"), ("endMessageId", "end_message_id"), more=("fragment_id",)),
-        "controls": with_defaults("controls", controls.drop("cases", "depends_on")),
+        "controls": with_defaults("controls", controls.withColumn("n_rules", F.when(F.col("depends_on").isNotNull(), F.size("depends_on"))).drop("cases", "depends_on")),
         "cases": each(controls, "cases", ("caseId", "case_id"), ("label", "label"), more=("control_id",)),
         "requirements": rules.select(*key, "edge_id", "rule_ix", "req_ix", F.col("q.controlId").alias("control_id"), F.col("q.value").alias("value")),
         "roots": d.select(*key, F.posexplode("g.layoutContext.rootNodeIds").alias("ordinal", "node_id")),
         "aux_definitions": each(d, "g.layoutContext.auxiliaryDefinitions", ("definitionId", "definition_id"), ("title", "title")),
-        "links": nodes.select(*key, F.lit("node").alias("kind"), F.col("node_id").alias("element_id"), F.inline("links")),
+        "links": nodes.select(*key, F.lit("node").alias("kind"), F.col("node_id").alias("element_id"), F.posexplode("links").alias("link_ix", "l")).unionByName(parsed.filter("error IS NULL").select(*key, F.lit("artifact").alias("kind"), F.lit(None).cast("string").alias("element_id"), F.posexplode("document.links").alias("link_ix", "l"))).select(*key, "kind", "element_id", "link_ix", "l.*"),
+        "prerequisites": prerequisites.select(*key, "control_id", "rule_ix", "req_ix", F.col("q.controlId").alias("req_control_id"), F.col("q.value").alias("value")),
+        "rules": edges.filter("active_when IS NOT NULL").select(*key, "edge_id", F.size("active_when").alias("n_rules")),
     }
 
 
@@ -135,23 +142,70 @@ def scope_status(parsed: DataFrame) -> DataFrame:
     return g.withColumn("status", F.when(F.col("n_errors") > 0, "invalid").otherwise("valid"))
 
 
+def envelopes_of(parsed: DataFrame) -> DataFrame:
+    """What valid documents have beside their graph, for documents_of()."""
+    d, g = "document.", "document.diagram."
+    fields = {"type": f"{d}type", "title": f"{d}title", "updated_at": f"{d}updatedAt", "generator": f"{d}generator", "instructions": f"{d}instructions", "vcs": f"{d}vcs", "layout_id": f"{g}layout.id", "options": f"{g}layout.options"}
+    return parsed.filter("error IS NULL").select("scope_id", "artifact_id", *(F.col(c).alias(k) for k, c in fields.items()))
+
+
 def documents_of(tables: dict[str, DataFrame], envelopes: DataFrame) -> DataFrame:
-    """(scope_id, artifact_id, raw): documents nested again from groups, nodes,
-    edges and envelopes (type, title, layout_id); defaults are left out."""
+    """(scope_id, artifact_id, raw): documents nested again from the tables of
+    explode_graph() and envelopes (type, title, layout_id and, if they have
+    them, the other columns of envelopes_of()). Defaults are left out, so are
+    empty lists of what a node, control or document need not have."""
     key = ["scope_id", "artifact_id"]
     less = lambda c, default: F.nullif(F.col(c), F.lit(default))
 
-    def nested(df: DataFrame, name: str, **fields: Column) -> DataFrame:
-        item = F.struct("ordinal", *(c.alias(k) for k, c in fields.items()))
-        return df.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[k].alias(k) for k in fields))).alias(name))
-
-    g = nested(tables["groups"], "groups", groupId=F.col("group_id"), type=less("type", "default"), title=F.col("title"), parentGroupId=F.col("parent_group_id"), hideTitle=less("hide_title", False), synthetic=less("synthetic", False))
-    n = nested(tables["nodes"], "nodes", nodeId=F.col("node_id"), type=F.col("type"), title=F.col("title"), groupId=F.col("group_id"), synthetic=less("synthetic", False))
-    e = nested(tables["edges"], "edges", edgeId=F.col("edge_id"), type=F.col("type"), sourceNodeId=F.col("source_node_id"), targetNodeId=F.col("target_node_id"), label=F.col("label"), kind=F.col("kind"))
-    d = envelopes.join(g, key, "left").join(n, key, "left").join(e, key, "left")
-    none = lambda c: F.coalesce(F.col(c), F.array())
-    graph = F.struct(none("groups").alias("groups"), none("nodes").alias("nodes"), none("edges").alias("edges"))
-    document = F.struct("type", "title", F.struct(F.struct(F.col("layout_id").alias("id")).alias("layout"), graph.alias("graph")).alias("diagram"))
+    def nested(df: DataFrame, name: str, by: list[str], order: str, **fields: Column) -> DataFrame:
+        """One list of structs for each key, in order."""
+        item = F.struct(F.col(order).alias("at"), *(c.alias(k) for k, c in fields.items()))
+        return df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[k].alias(k) for k in fields))).alias(name))
+
+    def rulesets(requirements: DataFrame, counts: DataFrame, of: str, control: str, name: str) -> DataFrame:
+        """Lists of n_rules rules, those without requirements empty."""
+        rules = nested(requirements, "rule", [*key, of, "rule_ix"], "req_ix", controlId=F.col(control), value=F.col("value"))
+        rules = rules.groupBy(*key, of).agg(F.map_from_entries(F.collect_list(F.struct("rule_ix", "rule"))).alias("rules"))
+        empty = F.array().cast("array<struct<controlId:string,value:string>>")
+        # element by element, as a rule may have no entry
+        full = F.transform(F.sequence(F.lit(0), F.col("n_rules") - 1), lambda i: F.coalesce(F.try_element_at("rules", i), empty))
+        out = counts.filter("n_rules IS NOT NULL").select(*key, of, "n_rules").join(rules, [*key, of], "left")
+        return out.select(*key, of, F.when(F.col("n_rules") == 0, F.array().cast(_REQUIREMENTS)).otherwise(full).alias(name))
+
+    t = tables
+    links = nested(t["links"], "links", [*key, "kind", "element_id"], "link_ix", text=F.col("text"), href=F.col("href"))
+    place = lambda side: F.struct(F.col(f"{side}_message_id").alias("messageId"), F.col(f"{side}_endpoint").alias("endpoint"))
+    activations = nested(t["activations"], "activations", [*key, "node_id"], "ordinal", activationId=F.col("activation_id"), startsAt=place("start"), endsAt=place("end"))
+    branches = nested(t["branches"], "branches", [*key, "fragment_id"], "ordinal", branchId=F.col("branch_id"), label=F.col("label"), startMessageId=F.col("start_message_id"), endMessageId=F.col("end_message_id")).withColumnRenamed("fragment_id", "node_id")
+    of_node = links.filter("kind = 'node'").select(*key, F.col("element_id").alias("node_id"), "links")
+    nodes = t["nodes"].join(of_node, [*key, "node_id"], "left").join(activations, [*key, "node_id"], "left").join(branches, [*key, "node_id"], "left")
+    edges = t["edges"].join(rulesets(t["requirements"], t["rules"], "edge_id", "control_id", "active_when"), [*key, "edge_id"], "left")
+    cases = nested(t["cases"], "cases", [*key, "control_id"], "ordinal", caseId=F.col("case_id"), label=F.col("label"))
+    before = rulesets(t["prerequisites"], t["controls"], "control_id", "req_control_id", "depends_on")
+    controls = t["controls"].join(cases, [*key, "control_id"], "left").join(before, [*key, "control_id"], "left")
+
+    element = {"type": less("type", "default"), "title": F.col("title"), "description": F.col("description")}
+    parts = [
+        nested(t["groups"], "groups", key, "ordinal", groupId=F.col("group_id"), **element, parentGroupId=F.col("parent_group_id"), hideTitle=less("hide_title", False), synthetic=less("synthetic", False)),
+        nested(nodes, "nodes", key, "ordinal", nodeId=F.col("node_id"), **element, kind=F.col("kind"), groupId=F.col("group_id"), synthetic=less("synthetic", False), links=F.col("links"), activations=F.col("activations"), branches=F.col("branches")),
+        nested(edges, "edges", key, "ordinal", edgeId=F.col("edge_id"), type=less("type", "default"), sourceNodeId=F.col("source_node_id"), targetNodeId=F.col("target_node_id"), label=F.col("label"), kind=F.col("kind"), href=F.col("href"), messageType=less("message_type", "sync"), activeWhen=F.col("active_when")),
+        t["roots"].groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "node_id"))), lambda x: x["node_id"]).alias("rootNodeIds")),
+        nested(controls, "controls", key, "ordinal", controlId=F.col("control_id"), type=F.col("type"), ownerNodeId=F.col("owner_node_id"), label=F.col("label"), polarityPair=less("polarity_pair", False), dependsOn=F.col("depends_on"), cases=F.col("cases")),
+        nested(t["aux_definitions"], "auxiliaryDefinitions", key, "ordinal", definitionId=F.col("definition_id"), title=F.col("title")),
+        links.filter("kind = 'artifact'").select(*key, "links"),
+    ]
+    d = envelopes
+    for name, kind in (("updated_at", "string"), ("generator", "string"), ("instructions", "string"), ("vcs", "struct<commit:string,branch:string>"), ("options", "map<string,string>")):
+        if name not in d.columns:
+            d = d.withColumn(name, F.lit(None).cast(kind))
+    for part in parts:
+        d = d.join(part, key, "left")
+    some = F.coalesce("rootNodeIds", F.array().cast("array<string>"))
+    context = F.when(F.coalesce(F.col("rootNodeIds").isNotNull() | F.col("controls").isNotNull() | F.col("auxiliaryDefinitions").isNotNull(), F.lit(False)), F.struct(some.alias("rootNodeIds"), "controls", "auxiliaryDefinitions"))
+    none = lambda c: F.coalesce(F.col(c), F.array()).alias(c)
+    graph = F.struct(none("groups"), none("nodes"), none("edges"), context.alias("layoutContext"))
+    layout = F.struct(F.col("layout_id").alias("id"), "options")
+    document = F.struct("type", "title", F.col("updated_at").alias("updatedAt"), "generator", "instructions", "vcs", "links", F.struct(layout.alias("layout"), graph.alias("graph")).alias("diagram"))
     return d.select(*key, F.to_json(document).alias("raw"))
 
 
