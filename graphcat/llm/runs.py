@@ -9,7 +9,7 @@ order, so an answer needs no keys. A run then reads its documents and its
 answers together.
 
 However often a key occurs, a run sends it once. There are fewer ranges than
-runs where there are many, and a run sends nothing to a range in which it has
+runs, in the same proportion at every size, and a run sends nothing to a range in which it has
 no keys, so there are never more rows than keys. The deal of the documents is
 kept as a bucketed table in the shared scratch folder, so later passes over
 the runs do not shuffle texts again.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .tables import TABLES, scratch
 
 RUN_BYTES = 12 << 20
-RUNS_A_RANGE = 8  #: beyond 64 ranges, each gets the keys of so many runs' texts
+RUNS_A_RANGE = 4  #: a range gets as many keys as so many runs have
 
 
 class Runs:
@@ -56,7 +56,7 @@ def bucketed(rows: DataFrame, n: int, column: str) -> DataFrame:
 
 
 def ranges(runs: int) -> int:
-    return min(runs, max(64, runs // RUNS_A_RANGE))
+    return -(-runs // RUNS_A_RANGE)
 
 
 def edges(n: int) -> np.ndarray:
