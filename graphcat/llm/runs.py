@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import TABLES, scratch
+from .tables import TABLES, releasing_shuffles, scratch
 
 RUN_BYTES = 12 << 20
 RUNS_A_RANGE = 4  #: a range gets as many keys as so many runs have
@@ -50,7 +50,8 @@ class Runs:
 def bucketed(rows: DataFrame, n: int, column: str) -> DataFrame:
     """rows, written in n buckets by a column, so that groups of it need no exchange."""
     table = f"runs_{uuid.uuid4().hex}"
-    rows.repartition(n, column).write.bucketBy(n, column).option("path", f"{scratch(rows.sparkSession)}/runs").saveAsTable(table)
+    with releasing_shuffles(rows.sparkSession):
+        rows.repartition(n, column).write.bucketBy(n, column).option("path", f"{scratch(rows.sparkSession)}/runs").saveAsTable(table)
     TABLES.append(table)
     return rows.sparkSession.table(table)
 

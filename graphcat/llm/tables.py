@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables and folders made for results that may still be read; see forget().
 TABLES: list[str] = []
 FOLDERS: list[str] = []
@@ -49,9 +51,22 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def releasing_shuffles(spark: SparkSession):
+    """Within it, a query's shuffle files go from disk when the query has ended.
+    What is written then is a table, so nothing reads them again."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared scratch folder and read again. Cuts lineage and
     survives the loss of executors."""
     path = f"{scratch(df.sparkSession)}/table"
-    df.write.parquet(path)
+    with releasing_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
