@@ -35,10 +35,10 @@ GRAMS = 4096  #: distinct n-grams whose vectors are made at a time
 @cache
 def _unicode() -> tuple[np.ndarray, np.ndarray]:
     """Whether a code point is a letter, and its lower case where that is one code point."""
-    chars = [chr(i) for i in range(0x110000)]
     lower = np.arange(0x110000, dtype=np.uint32)
     letter = np.zeros(0x110000, dtype=bool)
-    for i, c in enumerate(chars):
+    for i in range(0x110000):
+        c = chr(i)
         if c.isalpha():
             letter[i] = True
             if len(low := c.lower()) == 1:
