@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from . import words as W
 from .components import connected
 from .runs import bucketed, cuts, ranges, unpacked
-from .tables import carried, read, written
+from .tables import carried, discard, read, written
 
 SHINGLE = 3
 PERCENT = 90
@@ -57,7 +57,7 @@ LARGE = 256
 #: Prefixes go on for so many keys that similar sets share, through rare shingles.
 SHARED = 4
 FREQUENT, COMMON = 8, 1024  #: above the sketch's mean load and its noise
-PART = 1 << 14  #: sets whose keys are packed together
+PART = 1 << 12  #: sets whose keys are packed together
 SUMMED = 64  #: parts of the sketch that are summed in one group
 
 
@@ -373,9 +373,12 @@ def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     estimates = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
     parts = max(1, -(-facts.filter("n > 0").count() // PART))
     prefixes = _prefixes(docs, sketch, estimates, n, percent).withColumn("part", F.pmod("set", F.lit(parts)).cast("int"))
-    each = written(_held_by_several(bucketed(prefixes, parts, "part"), parts))
+    held = _held_by_several(bucketed(prefixes, parts, "part"), parts)
+    each = written(held)
+    discard(held)
     heads = each.groupBy("key").agg(F.count("*").alias("held"), F.max(F.struct("typical", "set", "n")).alias("pivot")).filter("held > 1")
     shared = written(each.join(heads, "key").select("key", "set", "n", "least", F.col("pivot.set").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
+    discard(each)
     around = settled_pairs(shared)
     own = written(shared.groupBy("set").agg(F.max("least").alias("least"), F.collect_set("key").alias("keys")))
     side = lambda c: own.select(F.col("set").alias(c), F.col("least").alias(f"least_{c}"), F.col("keys").alias(f"keys_{c}"))
@@ -388,13 +391,18 @@ def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     full = _full(wanted, docs, classes, n, estimates)
     members = _members(wide, full, percent)
     links = written(_verified(stars, full, percent).union(_certain(members)))
+    discard(full, stars)
     group = connected(links).select(F.col("node").alias("set"), F.col("component").alias("g"))
-    links = written(links.union(_between(members, group, percent)))
+    between = _between(members, group, percent)
+    found, links = links, written(links.union(between))
+    discard(between, members, found)
     # the same for keys of other pivots; these hold fewer than LARGE sets
     others = shared.join(around.filter("large").select(F.col("a").alias("pivot")).distinct(), "pivot", "left_anti")
-    named = written(others.join(group, "set", "left").withColumn("g", F.coalesce("g", "set")))
-    of_key = named.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max(F.when(F.col("set") == F.col("pivot"), F.col("g"))).alias("home"))
-    named = written(named.join(of_key.filter("low <> high").select("key", "home"), "key").select("key", "set", "n", "least", "g", "home", (F.col("set") == F.col("pivot")).alias("is_pivot")))
+    placed = written(others.join(group, "set", "left").withColumn("g", F.coalesce("g", "set")))
+    discard(shared, around)
+    of_key = placed.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max(F.when(F.col("set") == F.col("pivot"), F.col("g"))).alias("home"))
+    named = written(placed.join(of_key.filter("low <> high").select("key", "home"), "key").select("key", "set", "n", "least", "g", "home", (F.col("set") == F.col("pivot")).alias("is_pivot")))
+    discard(placed)
     # two sets in no pair so far and of different groups share only such keys
     mixed = named.groupBy("set").agg(F.collect_set("key").alias("keys"))
     named = named.drop("least").join(mixed.join(own.select("set", "least"), "set"), "set")
@@ -404,6 +412,7 @@ def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     common = F.array_intersect("keys_x", "keys_y")
     rest = x.withColumnRenamed("key", "k_x").join(y, (F.col("k_x") == F.col("key")) & (F.col("g_x") != F.col("g_y")) & once & _fits("n_x", "n_y", percent) & (F.size(common) >= F.least("least_x", "least_y")))
     pairs = written(rest.select(F.col("set_x").alias("a"), F.col("set_y").alias("b")).distinct())
+    discard(named, own)
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b"))
     links = links.unionByName(_verified(pairs, _full(wanted, docs, classes, n, estimates), percent))
     groups = connected(written(links))

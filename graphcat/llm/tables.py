@@ -51,6 +51,18 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the scratch folders that these tables read. Only for tables of
+    which all that is made has been written, and that read no input."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {part for file in df.inputFiles() for part in file.split("/")}:
+            for folder in [f for f in FOLDERS if f.endswith(f"/{name}")]:
+                FOLDERS.remove(folder)
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def releasing_shuffles(spark: SparkSession):
     """Within it, a query's shuffle files go from disk when the query has ended.
