@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixpoint import settled
+from ..operators import routes
 from ..operators import rulesets as R
 from ..operators import validate as V
 from .catalog import query
@@ -181,3 +182,33 @@ def polarity_pair(spark, controls, cases):
     two = cases.filter("control_id = 'status' AND case_id <> 'F'").groupBy("artifact_id", "control_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "case_id"))), lambda c: c["case_id"]).alias("cases"))
     p = controls.join(two, ["artifact_id", "control_id"]).select("artifact_id", pair("type", F.lit(True), "cases").alias("p"))
     return p.select("artifact_id", "p.*")
+
+
+_ROUTES = """
+, o AS (SELECT artifact_id, edge_id, target_node_id AS node, value AS st FROM comp_requirements WHERE edge_id LIKE 'o:%'),
+b AS (SELECT artifact_id, edge_id, source_node_id, target_node_id, rule_ix, max(value) FILTER (control_id = 'flag') AS fl, max(value) FILTER (control_id = 'line') AS li FROM comp_requirements WHERE edge_id LIKE 'b:%' GROUP BY ALL)
+SELECT DISTINCT b.artifact_id, b.target_node_id AS target, o.edge_id || ' ' || b.edge_id AS path, 'flag=' || fl || ',line=' || li || ',status=' || st AS requirements
+FROM b JOIN o ON o.artifact_id = b.artifact_id AND o.node = b.source_node_id
+"""
+
+
+def _routes(req):
+    """Routes to all brands of all customers."""
+    roots = req.select("artifact_id", F.lit("root").alias("node_id")).distinct()
+    targets = req.filter("edge_id LIKE 'b:%'").select("artifact_id", F.col("target_node_id").alias("node_id"))
+    return routes.ancestor_routes(_edges(req), req, roots, targets)
+
+
+def _as_text(found):
+    text = F.array_join(F.transform("requirements", lambda q: F.concat(q["control_id"], F.lit("="), q["value"])), ",")
+    return found.select("artifact_id", "target", F.array_join("path", " ").alias("path"), text.alias("requirements"))
+
+
+@query("comp_requirements", sql=_ROUTES)
+def ancestor_routes(spark, req):
+    return _as_text(_routes(req))
+
+
+@query("comp_requirements", "comp_prerequisites", sql=_ROUTES + "WHERE st = 'O'")
+def with_prerequisites(spark, req, needs):
+    return _as_text(routes.with_prerequisites(_routes(req), needs))
