@@ -212,3 +212,17 @@ def ancestor_routes(spark, req):
 @query("comp_requirements", "comp_prerequisites", sql=_ROUTES + "WHERE st = 'O'")
 def with_prerequisites(spark, req, needs):
     return _as_text(routes.with_prerequisites(_routes(req), needs))
+
+
+@query(*GATED, sql="""
+, o AS (SELECT artifact_id, edge_id, target_node_id AS node, value AS st FROM comp_requirements WHERE edge_id LIKE 'o:%'),
+b AS (SELECT DISTINCT artifact_id, edge_id, source_node_id, target_node_id, value AS fl FROM comp_requirements WHERE edge_id LIKE 'b:%' AND control_id = 'flag'),
+ob AS (SELECT artifact_id, count(DISTINCT target_node_id) AS k, min(edge_id) AS e FROM b WHERE EXISTS (SELECT 1 FROM o WHERE o.artifact_id = b.artifact_id AND o.node = b.source_node_id AND st = 'O') GROUP BY artifact_id),
+m AS (SELECT o.artifact_id, 'status' AS control_id, st AS case_id, count(*) + coalesce(any_value(CASE WHEN st = 'O' THEN k END), 0) AS descendants,
+  CASE WHEN st = 'O' AND any_value(k) > 0 THEN 2 ELSE 1 END AS depth, coalesce(any_value(CASE WHEN st = 'O' THEN ob.e END), min(edge_id)) AS e FROM o LEFT JOIN ob ON ob.artifact_id = o.artifact_id GROUP BY o.artifact_id, st
+  UNION ALL SELECT artifact_id, 'flag', fl, count(DISTINCT target_node_id), 1, min(edge_id) FROM b GROUP BY artifact_id, fl),
+r AS (SELECT c.artifact_id, c.control_id, c.case_id, row_number() OVER (PARTITION BY c.artifact_id, c.control_id ORDER BY coalesce(descendants, 0) DESC, coalesce(depth, 0) DESC, coalesce(e, ''), ordinal) AS best FROM comp_cases c LEFT JOIN m USING (artifact_id, control_id, case_id))
+SELECT artifact_id, control_id, case_id AS value FROM r WHERE best = 1 UNION ALL SELECT artifact_id, 'line', 'off' FROM comp_controls WHERE control_id = 'line'""")
+def initial_selection(spark, req, controls, cases, needs):
+    roots = req.select("artifact_id", F.lit("root").alias("node_id")).distinct()
+    return routes.initial_selection(_edges(req), req, needs, controls, cases, roots)
