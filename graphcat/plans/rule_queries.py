@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixpoint import settled
 from ..operators import routes
 from ..operators import rulesets as R
+from ..operators import selection as S
 from ..operators import validate as V
 from .catalog import query
 
@@ -226,3 +228,58 @@ SELECT artifact_id, control_id, case_id AS value FROM r WHERE best = 1 UNION ALL
 def initial_selection(spark, req, controls, cases, needs):
     roots = req.select("artifact_id", F.lit("root").alias("node_id")).distinct()
     return routes.initial_selection(_edges(req), req, needs, controls, cases, roots)
+
+
+def _projected(req, controls, needs):
+    """The graph with decision nodes, each edge with an id of its ends and port."""
+    made = settled(R.project_decision_nodes(req, _edges(req), controls).withColumn("edge_id", F.concat_ws(">", "source_id", F.coalesce("source_port", F.lit("")), "target_id")))
+    rules = made.select("artifact_id", "edge_id", F.posexplode("active_when").alias("rule_ix", "rule")).select("artifact_id", "edge_id", "rule_ix", F.posexplode("rule").alias("req_ix", "q"))
+    edges = made.select("artifact_id", "edge_id", F.col("source_id").alias("source_node_id"), F.col("target_id").alias("target_node_id"), "source_port")
+    roots = req.select("artifact_id", F.lit("root").alias("node_id")).distinct()
+    return S.Gated(edges, settled(rules.select("artifact_id", "edge_id", "rule_ix", "req_ix", "q.*")), settled(controls), settled(needs), settled(roots))
+
+
+def _started(controls, scenario, **values):
+    """One scenario of every artifact, with these values of its controls."""
+    value = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    return controls.select("artifact_id", F.lit(scenario).alias("scenario_id"), "control_id", F.try_element_at(value, F.col("control_id")).alias("value"))
+
+
+def _pairs(controls):
+    return controls.filter("control_id = 'flag'").select("artifact_id", "control_id", F.lit("X").alias("off_case"))
+
+
+@query(*GATED, sql="""
+, h AS (SELECT o.artifact_id, bool_or(value = 'O') AS o, bool_or(value = 'P') AS p FROM comp_requirements o WHERE control_id = 'status' AND EXISTS (SELECT 1 FROM comp_requirements b WHERE b.artifact_id = o.artifact_id AND b.source_node_id = o.target_node_id) GROUP BY o.artifact_id),
+c AS (SELECT c.artifact_id, control_id, coalesce(o, FALSE) AS o, coalesce(p, FALSE) AS p FROM comp_controls c LEFT JOIN h USING (artifact_id))
+SELECT artifact_id, 'flag' AS scenario_id, control_id, CASE control_id WHEN 'flag' THEN 'N' WHEN 'line' THEN 'off' ELSE CASE WHEN o THEN 'O' ELSE 'F' END END AS value FROM c
+UNION ALL SELECT artifact_id, 'status', control_id, CASE control_id WHEN 'flag' THEN CASE WHEN o AND NOT p THEN 'X' ELSE 'N' END WHEN 'line' THEN 'off' ELSE 'P' END FROM c""")
+def select_path(spark, req, controls, cases, needs):
+    """A flag that needs an open order is clicked where filled ones are selected,
+    and partial orders where open ones are."""
+    graph = _projected(req, controls, needs)
+    before = settled(_started(controls, "flag", status="F", flag="A", line="off").unionByName(_started(controls, "status", status="O", flag="N", line="off")))
+    asked = F.when(F.col("scenario_id") == "flag", "N").otherwise("P")
+    clicks = before.filter("control_id = scenario_id").withColumn("value", asked)
+    return S.select_path(graph, before, clicks, _pairs(controls))
+
+
+@query(*GATED, sql="""
+, e AS (SELECT artifact_id, min('flag>' || value || '>' || target_node_id) AS e FROM comp_requirements WHERE control_id = 'flag' GROUP BY artifact_id),
+g AS (SELECT DISTINCT e.artifact_id, e, r.value AS fl, l.value AS li FROM e JOIN comp_requirements r ON r.artifact_id = e.artifact_id AND r.control_id = 'flag' AND 'flag>' || r.value || '>' || r.target_node_id = e
+  JOIN comp_requirements l ON l.artifact_id = r.artifact_id AND l.edge_id = r.edge_id AND l.rule_ix = r.rule_ix AND l.control_id = 'line'),
+f AS (SELECT artifact_id, any_value(fl) AS fl, bool_or(li = 'on') AS li FROM g GROUP BY artifact_id),
+h AS (SELECT o.artifact_id, bool_or(value = 'O') AS o FROM comp_requirements o WHERE control_id = 'status' AND EXISTS (SELECT 1 FROM comp_requirements b WHERE b.artifact_id = o.artifact_id AND b.source_node_id = o.target_node_id) GROUP BY o.artifact_id)
+SELECT artifact_id, 'edge' AS scenario_id, control_id, CASE control_id WHEN 'flag' THEN fl WHEN 'line' THEN CASE WHEN li THEN 'on' ELSE 'off' END ELSE CASE WHEN o THEN 'O' ELSE 'F' END END AS value
+FROM comp_controls JOIN f USING (artifact_id) JOIN h USING (artifact_id)""")
+def select_edge(spark, req, controls, cases, needs):
+    """The first arm of each artifact's flag is clicked at its flag, where filled
+    orders and no flag are selected; of its rules, one that wants the line on
+    comes first."""
+    graph = _projected(req, controls, needs)
+    line_on = F.max((F.col("control_id") == "line") & (F.col("value") == "on")).over(Window.partitionBy("artifact_id", "edge_id", "rule_ix"))
+    guards = settled(graph.requirements.withColumn("rule_ix", F.col("rule_ix") + F.when(line_on, 0).otherwise(1000)))
+    first = graph.edges.filter("source_node_id = 'flag'").groupBy("artifact_id").agg(F.min(F.struct("edge_id", F.col("source_port").alias("value"))).alias("e")).select("artifact_id", "e.*")
+    before = settled(_started(controls.join(first, "artifact_id", "left_semi"), "edge", status="F", flag="X", line="off"))
+    clicks = first.select("artifact_id", F.lit("edge").alias("scenario_id"), "edge_id", F.lit("flag").alias("control_id"), "value")
+    return S.select_edge(graph, before, settled(clicks), guards, _pairs(controls))
