@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .curves import op4_hilbert_ann
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .fim import OP13_SQL, op13_fill_in_middle
 from .jaccard import OP3_SQL, op3_jaccard_join
 from .langid import op2_language_id
 from .licenses import OP8_SQL, op8_licenses
@@ -24,5 +25,12 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lattice_lm": op10_lattice_lm,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+ORACLES = {
+    "op1_decontaminate": OP1_SQL,
+    "op3_jaccard_join": OP3_SQL,
+    "op8_licenses": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op8_licenses": OP8_SQL, "op9_suffix_dedup": OP9_SQL}
