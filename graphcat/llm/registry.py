@@ -13,6 +13,7 @@ from .mixing import op7_mix
 from .pii import op5_pii
 from .reshard import op6_reshard
 from .suffix_dedup import OP9_SQL, op9_suffix_dedup
+from .trie import OP12_SQL, op12_prefix_trie
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lattice_lm": op10_lattice_lm,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES = {
@@ -32,5 +34,6 @@ ORACLES = {
     "op3_jaccard_join": OP3_SQL,
     "op8_licenses": OP8_SQL,
     "op9_suffix_dedup": OP9_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
