@@ -13,6 +13,7 @@ from .mixing import op7_mix
 from .pii import op5_pii
 from .reshard import op6_reshard
 from .suffix_dedup import OP9_SQL, op9_suffix_dedup
+from .toxicity import op11_toxicity
 from .trie import OP12_SQL, op12_prefix_trie
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lattice_lm": op10_lattice_lm,
+    "op11_toxicity": op11_toxicity,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
