@@ -356,8 +356,9 @@ def _between(members: DataFrame, group: DataFrame, percent: int) -> DataFrame:
 
 
 def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep: list[str] | None = None, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """row (the carried columns), n_shingles, set (the class) and component (the
-    smallest id that links lead to, the own id included).
+    """row (the carried columns), n_shingles, set (the class), component (the
+    smallest id that links lead to, the own id included) and linked (the same for
+    all rows that links connect, and for no others; null if nothing can be linked).
 
     Sets with percent% of their union in common are linked. A null or wordless
     text has the empty set and no link. Rows of equal sets are of one class. A
@@ -419,10 +420,10 @@ def join_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     # every class with its component's smallest id
     placed = classes.join(groups.select(F.col("node").alias("set"), F.col("component").alias("g")), "set", "left").withColumn("g", F.coalesce("g", "set"))
     low = placed.groupBy("g").agg(F.min("id").alias("low"))
-    ids = placed.join(low, "g").select("set", "low")
+    ids = placed.join(low, "g").select("set", "low", "g")
     out = rows.join(ids, "set", "left")
     linked = F.col("id").isNotNull() & (F.col("n") > 0)
-    return out.select("row", F.col("n").alias("n_shingles"), "set", F.when(linked, F.col("low")).otherwise(F.col("id")).alias("component"))
+    return out.select("row", F.col("n").alias("n_shingles"), "set", F.when(linked, F.col("low")).otherwise(F.col("id")).alias("component"), F.when(linked, F.col("g")).alias("linked"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

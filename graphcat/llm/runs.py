@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import TABLES, releasing_shuffles, scratch
@@ -47,13 +47,21 @@ class Runs:
         self.ranges = ranges(self.n)
 
 
+def parts_of(spark: SparkSession, n: int) -> int:
+    """In how many parts n groups are dealt: as many as Spark allows buckets at
+    most. Beyond that a part holds several groups, one after the other."""
+    return min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+
+
 def bucketed(rows: DataFrame, n: int, column: str) -> DataFrame:
-    """rows, written in n buckets by a column, so that groups of it need no exchange."""
-    table = f"runs_{uuid.uuid4().hex}"
-    with releasing_shuffles(rows.sparkSession):
-        rows.repartition(n, column).write.bucketBy(n, column).option("path", f"{scratch(rows.sparkSession)}/runs").saveAsTable(table)
+    """rows, written in buckets by a column of n values, so that groups of it need
+    no exchange."""
+    table, spark = f"runs_{uuid.uuid4().hex}", rows.sparkSession
+    parts = parts_of(spark, n)
+    with releasing_shuffles(spark):
+        rows.repartition(parts, column).write.bucketBy(parts, column).option("path", f"{scratch(spark)}/runs").saveAsTable(table)
     TABLES.append(table)
-    return rows.sparkSession.table(table)
+    return spark.table(table)
 
 
 def ranges(runs: int) -> int:

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import suffix_runs
 from . import words as W
-from .runs import Runs, cuts, edges, unpacked
+from .runs import Runs, cuts, edges, parts_of, unpacked
 from .tables import read, written
 
 LENGTH = 50
@@ -304,6 +304,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     """
     runs = Runs(docs, text, id_column, keep, RUN_BYTES, _with_places)
     n = runs.ranges
+    dealt = parts_of(docs.sparkSession, n)
 
     def tell(table: pa.Table) -> pa.Table:
         run = Run(table)
@@ -330,7 +331,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
     own = runs.documents.select("run", "id", "text", "places")
     told = own.groupBy("run").applyInArrow(tell, "range int, run int, keys binary, seen binary")
-    shared = written(told.repartition(n, "range").groupBy("range").applyInArrow(combine, "range int, run int, shared binary, hot binary, n int"))
+    shared = written(told.repartition(dealt, "range").groupBy("range").applyInArrow(combine, "range int, run int, shared binary, hot binary, n int"))
 
     def narrowed(table: pa.Table, answers: pa.Table) -> Run:
         run = Run(table)
@@ -363,7 +364,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
     by_run = shared.groupBy("run")
     sent = own.groupBy("run").cogroup(by_run).applyInArrow(send, "range int, run int, heads binary, rests binary, low binary")
-    settled = written(sent.repartition(n, "range").groupBy("range").applyInArrow(settle, "range int, run int, bits binary"))
+    settled = written(sent.repartition(dealt, "range").groupBy("range").applyInArrow(settle, "range int, run int, bits binary"))
     answers = shared.withColumn("bits", F.lit(None).cast("binary")).unionByName(settled, allowMissingColumns=True)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphcat.llm import jaccard
@@ -73,3 +74,48 @@ def test_stage_drops_copies_with_text_appended(spark, tmp_path):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     kept = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3]
+
+
+def test_stage_tells_texts_of_one_id_apart(spark, tmp_path):
+    """A near copy goes although another text of its id stays; texts of one id in
+    one group leave one, wordless texts and those without an id stay."""
+    rng = random.Random(4)
+    base, other = ([f"{c}{rng.randrange(900)}" for _ in range(120)] for c in "wo")
+    join = " ".join
+    rows = [(1, join(base)), (5, join([*base, "more"])), (5, join(other)), (5, join(other)), (7, join(["pre", *other])), (9, None), (9, "a b c d e f"), (9, "  "), (None, join(base))]
+    rows += [(11, join(f"z{k}" for k in range(100))), (11, join(f"z{k}" for k in range(101)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_digest0", F.lit("clash"))
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()]
+    z = [t for i, t in got if i == 11]
+    assert len(z) == 1 and z[0] in {t for i, t in rows if i == 11}
+    key = lambda x: (x[0] or 0, x[1] or "")
+    assert sorted((x for x in got if x[0] != 11), key=key) == sorted([rows[0], rows[2], (9, None), (9, "a b c d e f"), (9, "  "), rows[8]], key=key)
+
+
+def test_more_runs_than_buckets(spark, monkeypatch):
+    """Runs and parts beyond the number of buckets that Spark allows share them."""
+    from graphcat.llm import lm, suffix_dedup
+
+    texts = near_texts()
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    learns = F.col("doc_id") % 2 == 0
+
+    def results():
+        kept = suffix_dedup.remove_repeats(df, keep=["doc_id"]).select("row.doc_id", F.sha2("kept", 256))
+        scores = lm.score_documents(df, learns, keep=["doc_id"]).select("row.doc_id", "base_score", "score")
+        return sorted(map(tuple, kept.collect())), sorted(map(tuple, scores.collect()))
+
+    want = results()
+    monkeypatch.setattr(jaccard, "PART", 4)
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 2000)
+    monkeypatch.setattr(lm.Runs.__init__, "__defaults__", (2000, None))
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "8")
+    try:
+        got = jaccard.join_groups(df, n=5, percent=80).collect()
+        assert sorted((r["row"]["doc_id"], r["n_shingles"], r["component"]) for r in got) == sorted(components(texts, 5, 80))
+        (kept, scores), (kept_before, scores_before) = results(), want
+        assert kept == kept_before
+        # expected counts are rounded once a run
+        assert np.array(scores) == pytest.approx(np.array(scores_before), rel=1e-4)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
