@@ -199,9 +199,10 @@ def duplicate_artifacts(artifacts: DataFrame) -> DataFrame:
 def catalog_status(scopes: DataFrame, artifacts: DataFrame, found: DataFrame) -> DataFrame:
     """(scope_id, status, n_artifacts, n_issues, message): missing without files,
     invalid with any issue, else valid. Issues stay rows; the message has the
-    first in order of artifact and path."""
+    first in order of artifact and path. found may have scope_id, where scopes
+    can have artifacts of one id."""
     a = artifacts.groupBy("scope_id").agg(F.count("*").alias("n_artifacts"))
-    i = found.join(artifacts.select("scope_id", "artifact_id").distinct(), "artifact_id").groupBy("scope_id").agg(F.count("*").alias("n_issues"), F.min_by("message", F.struct("artifact_id", "path", "message")).alias("message"))
+    i = found.join(artifacts.select("scope_id", "artifact_id").distinct(), ["scope_id", "artifact_id"] if "scope_id" in found.columns else "artifact_id").groupBy("scope_id").agg(F.count("*").alias("n_issues"), F.min_by("message", F.struct("artifact_id", "path", "message")).alias("message"))
     out = scopes.select("scope_id").distinct().join(a, "scope_id", "left").join(i, "scope_id", "left").fillna(0, ["n_artifacts", "n_issues"])
     return out.select("scope_id", F.when(F.col("n_artifacts") == 0, "missing").when(F.col("n_issues") > 0, "invalid").otherwise("valid").alias("status"), "n_artifacts", "n_issues", F.coalesce("message", F.lit("")).alias("message"))
 
