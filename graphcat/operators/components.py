@@ -49,23 +49,51 @@ def consumer_routes(supplied: DataFrame, rules: DataFrame, max_rounds: int = MAX
 
 
 def expand_instances(uses: DataFrame, roots: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:
-    """Context instances (instance_id, definition_id, parent_id, depth, closed)
-    of uses (use_id, parent_definition, definition_id) below roots
-    (definition_id). An instance whose definition stands above it is closed:
-    it is not expanded. Ids are the definition and a digest of the way to it."""
-    now = roots.select(F.col("definition_id").alias("instance_id"), "definition_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.array("definition_id").alias("above"), F.lit(False).alias("closed"))
-    u = uses.select("use_id", F.col("parent_definition").alias("d"), F.col("definition_id").alias("child"))
+    """Context instances (instance_id, definition_id, parent_id, depth, closed, and
+    way if uses have ordinal: the ordinals on the way to it) of uses (use_id,
+    parent_definition, definition_id) below roots (definition_id). An instance
+    whose definition stands above it is closed: it is not expanded. Ids are the
+    definition and a digest of the way to it."""
+    ordered = "ordinal" in uses.columns
+    now = roots.select(F.col("definition_id").alias("instance_id"), "definition_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.array("definition_id").alias("above"), F.lit(False).alias("closed"), F.array().cast("array<bigint>").alias("way"))
+    u = uses.select("use_id", F.col("parent_definition").alias("d"), F.col("definition_id").alias("child"), (F.col("ordinal") if ordered else F.lit(0)).cast("bigint").alias("ordinal"))
     out = now = settled(now)
     for _ in range(max_depth):
         open_ = now.filter("NOT closed")
-        below = open_.join(u, F.col("definition_id") == F.col("d")).select(F.concat("child", F.lit("@"), hashed_id("instance_id", "use_id")).alias("instance_id"), F.col("child").alias("definition_id"), F.col("instance_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.concat("above", F.array("child")).alias("above"), F.array_contains("above", F.col("child")).alias("closed"))
+        below = open_.join(u, F.col("definition_id") == F.col("d")).select(F.concat("child", F.lit("@"), hashed_id("instance_id", "use_id")).alias("instance_id"), F.col("child").alias("definition_id"), F.col("instance_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.concat("above", F.array("child")).alias("above"), F.array_contains("above", F.col("child")).alias("closed"), F.concat("way", F.array("ordinal")).alias("way"))
         now = settled(below)
         if now.isEmpty():
-            return out.drop("above")
+            return out.drop("above") if ordered else out.drop("above", "way")
         out = out.unionByName(now)
     raise RuntimeError(f"instances deeper than {max_depth}")
 
 
+def visible_instances(instances: DataFrame, hidden: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """instances (of expand_instances, with way) without those of hidden
+    definitions (definition_id): what stands below a hidden one is handed to the
+    nearest visible instance above it, in order. parent_id is that instance, null
+    if there is none, and ordinal the place below it.
+
+    Pointers over hidden instances are doubled, so a chain of hidden boundaries
+    takes rounds by the logarithm of its length.
+    """
+    told = settled(instances.join(hidden.select("definition_id", F.lit(True).alias("gone")).distinct(), "definition_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
+    gone = told.filter("gone").select(F.col("instance_id").alias("up"), F.col("parent_id").alias("next"))
+    ways = told.filter("NOT gone").select("instance_id", F.col("parent_id").alias("up"))
+    for _ in range(max_rounds):
+        gone = settled(gone)
+        open_ = gone.withColumnRenamed("up", "hop").withColumnRenamed("next", "after")
+        jumped = gone.join(open_, F.col("next") == F.col("hop"), "left")
+        if jumped.filter("hop IS NOT NULL").isEmpty():
+            break
+        gone = jumped.select("up", F.when(F.col("hop").isNotNull(), F.col("after")).otherwise(F.col("next")).alias("next"))
+    else:
+        raise RuntimeError(f"hidden boundaries still open after {max_rounds} rounds")
+    parents = ways.join(gone.withColumn("over", F.lit(True)), "up", "left").select("instance_id", F.when(F.col("over"), F.col("next")).otherwise(F.col("up")).alias("parent_id"))
+    kept = told.filter("NOT gone").drop("gone", "parent_id").join(parents, "instance_id")
+    return kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("parent_id").orderBy("way", "instance_id")) - 1)
+
+
 def merge_relationships(relations: DataFrame) -> DataFrame:
     """One row for each (source, target, kind, slot): rules (distinct), suppliers
     and the number of relations. relations has rule, the text of one rule, and

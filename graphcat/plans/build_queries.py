@@ -9,6 +9,7 @@ from ..operators import components as C
 from ..operators import modules as M
 from ..operators import validate as V
 from .catalog import query
+from .fixtures import TABLES
 
 _RANKED = """,
 f AS (SELECT *, max(type_only) OVER (PARTITION BY source, specifier) AS ty FROM dep_candidates),
@@ -235,6 +236,29 @@ def expand_instances(spark, groups):
     return C.expand_instances(uses.union(ring), roots).groupBy("definition_id", "depth", "closed").agg(F.count("*").alias("n"))
 
 
+TABLES["shop_uses"] = """
+SELECT 'shop' AS parent_definition, 'region:' || CAST(r_regionkey AS STRING) AS definition_id, r_regionkey AS ordinal, FALSE AS hidden FROM region
+UNION ALL SELECT 'region:' || CAST(n_regionkey AS STRING), 'nation:' || CAST(n_nationkey AS STRING), n_nationkey, n_nationkey % 3 = 0 FROM nation
+UNION ALL SELECT 'nation:' || CAST(c_nationkey AS STRING), 'customer:' || CAST(c_custkey AS STRING), c_custkey, c_custkey % 3 = 1 FROM customer
+UNION ALL SELECT 'customer:' || CAST(o_custkey AS STRING), 'order:' || CAST(o_orderkey AS STRING), o_orderkey, o_orderkey % 3 = 2 FROM orders
+UNION ALL SELECT DISTINCT 'order:' || CAST(l_orderkey AS STRING), 'flag:' || l_returnflag, ASCII(l_returnflag), FALSE FROM lineitem
+UNION ALL SELECT DISTINCT 'flag:' || l_returnflag, 'line:' || l_linestatus, ASCII(l_linestatus), l_linestatus = 'F' FROM lineitem
+"""
+
+
+@query("shop_uses", recursive=True, sql=""",
+t AS (SELECT 'shop' AS d, FALSE AS hidden, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS BIGINT[]) AS parent_way, CAST([] AS BIGINT[]) AS way
+  UNION ALL SELECT u.definition_id, u.hidden, CASE WHEN t.hidden THEN t.parent ELSE t.d END, CASE WHEN t.hidden THEN t.parent_way ELSE t.way END, list_append(t.way, CAST(u.ordinal AS BIGINT)) FROM t JOIN shop_uses u ON u.parent_definition = t.d)
+SELECT d AS definition_id, parent AS parent_definition, row_number() OVER (PARTITION BY parent_way ORDER BY way) - 1 AS ordinal, len(way) AS depth FROM t WHERE NOT hidden""")
+def visible_instances(spark, uses):
+    """Instances of all orders with a third of the definitions hidden."""
+    named = uses.withColumn("use_id", F.concat_ws(">", "parent_definition", "definition_id"))
+    roots = spark.createDataFrame([("shop",)], "definition_id string")
+    made = C.visible_instances(C.expand_instances(named, roots), uses.filter("hidden").select("definition_id"))
+    above = made.select(F.col("instance_id").alias("parent_id"), F.col("definition_id").alias("parent_definition"))
+    return made.join(above, "parent_id", "left").select("definition_id", "parent_definition", "ordinal", "depth")
+
+
 @query("flow_edges", recursive=True, sql=""",
 w AS (SELECT source_id AS a, target_id AS b FROM flow_edges UNION SELECT w.a, e.target_id FROM w JOIN flow_edges e ON e.source_id = w.b)
 SELECT DISTINCT 'control_cycles' AS code, 'Component control prerequisites contain a cycle' AS message FROM w WHERE a = b""")

@@ -21,7 +21,7 @@ ATTEMPTS = 10
 def fingerprints(reads: DataFrame) -> DataFrame:
     """reads (scope_id, seq, status, catalog, annotations) with fingerprint: a
     digest of what a reader would see."""
-    return reads.withColumn("fingerprint", F.sha2(F.concat_ws("\n", "status", F.coalesce("catalog", F.lit("")), F.coalesce("annotations", F.lit(""))), 256)).select("scope_id", "seq", "status", "fingerprint")
+    return reads.withColumn("fingerprint", F.sha2(F.to_json(F.struct("status", "catalog", "annotations"), {"ignoreNullFields": "false"}), 256)).select("scope_id", "seq", "status", "fingerprint")
 
 
 def review_updates(reads: DataFrame, stable: bool = False) -> DataFrame:
@@ -69,3 +69,77 @@ def matched_bundles(catalogs: DataFrame, annotations: DataFrame, delay: str = "1
     a = annotations.select(F.col("scope_id").alias("a_scope"), F.col("revision_id").alias("a_revision"), F.col("read_at").alias("a_read_at"), "document").withWatermark("a_read_at", delay)
     near = F.expr(f"a_read_at BETWEEN read_at - INTERVAL {delay} AND read_at + INTERVAL {delay}")
     return c.join(a, (F.col("scope_id") == F.col("a_scope")) & (F.col("revision_id") == F.col("a_revision")) & near).drop("a_scope", "a_revision", "a_read_at")
+
+
+FENCED = "scope_id string, seq long, operation_id string, revision_id string, applied boolean"
+TRIES = 3
+BUNDLES = "scope_id string, seq long, revision_id string, tries long, error string"
+
+
+def fenced_updates(log: DataFrame) -> DataFrame:
+    """operators.annotations.fenced_results as a stream: log (scope_id, seq, kind,
+    operation_id, revision_id) to its results, with applied: whether the operation
+    is the last one started and no revision came since. A scope's state is the
+    operation that is open; a new revision closes it. Results may come in later
+    triggers than their start."""
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (open_operation,) = state.get if state.exists else (None,)
+        out = []
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        for seq, kind, operation, revision in zip(rows["seq"], rows["kind"], rows["operation_id"], rows["revision_id"], strict=True):
+            if kind == "start":
+                open_operation = operation
+            elif kind == "revision":
+                open_operation = None
+            else:
+                out.append((key[0], seq, operation, revision, operation is not None and operation == open_operation))
+        state.update((open_operation,))
+        yield pd.DataFrame(out, columns=["scope_id", "seq", "operation_id", "revision_id", "applied"])
+
+    return log.groupBy("scope_id").applyInPandasWithState(follow, FENCED, "operation string", "append", GroupStateTimeout.NoTimeout)
+
+
+def tried_bundles(reads: DataFrame, wait: str = "10 minutes", tries: int = TRIES) -> DataFrame:
+    """Bundles of reads that belong together, scope by scope: reads (scope_id, seq,
+    read_at, kind, revision_id), kind catalog or annotations, as each loader makes
+    them, the catalog first.
+
+    Annotations of the catalog's revision make a bundle; a catalog without a
+    revision is one alone. Others are a try that failed; after `tries` of them, or
+    when nothing came for `wait` of event time, a row tells the error, and the next
+    catalog read begins anew. Annotations without a catalog before are left out,
+    and so are reads that come `wait` later than others.
+    """
+    span = int(pd.Timedelta(wait).total_seconds() * 1000)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending, has, failed, last_seq, last_at = state.get if state.exists else (None, False, 0, 0, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], last_seq, pending, failed + 1, "No annotations came for the catalog."))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+            for seq, at, kind, revision in zip(rows["seq"], rows["read_at"], rows["kind"], rows["revision_id"], strict=True):
+                last_seq, last_at = int(seq), max(last_at, int(at.timestamp() * 1000))
+                if kind == "catalog":
+                    pending, has = revision, True
+                    if revision is None:
+                        out.append((key[0], seq, None, failed + 1, None))
+                        pending, has, failed = None, False, 0
+                elif has and revision == pending:
+                    out.append((key[0], seq, revision, failed + 1, None))
+                    pending, has, failed = None, False, 0
+                elif has:
+                    pending, has, failed = None, False, failed + 1
+                    if failed >= tries:
+                        out.append((key[0], seq, revision, failed, "Catalog and annotation revisions did not match."))
+                        failed = 0
+            state.update((pending, has, failed, last_seq, last_at))
+            if has:
+                state.setTimeoutTimestamp(max(last_at, state.getCurrentWatermarkMs()) + span)
+        yield pd.DataFrame(out, columns=["scope_id", "seq", "revision_id", "tries", "error"])
+
+    kept = "pending string, has boolean, failed long, last_seq long, last_at long"
+    return reads.withWatermark("read_at", wait).groupBy("scope_id").applyInPandasWithState(follow, BUNDLES, kept, "append", GroupStateTimeout.EventTimeTimeout)
