@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+GRAM = 3  #: letters of a key; shorter queries are keys themselves
+
+
+def _grams(text: str, n: Column) -> Column:
+    """The distinct runs of n letters of a text, none if it is shorter."""
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, n)))
+
+
 def search_elements(elements: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, artifact_id, type, id, title): titles that contain the query, case
     aside; an empty query finds nothing. elements: artifact_id, type, id, title.
 
-    Queries are few beside the elements; they are what is replicated, and only
-    below the session's broadcast limit."""
-    q = queries.select("query", F.lower("query").alias("q")).filter("q <> ''")
-    return elements.join(q, F.contains(F.lower("title"), F.col("q"))).select("query", "artifact_id", "type", "id", "title")
+    Titles are indexed by their runs of three letters (one and two for shorter
+    queries). Of these, only the ones that queries have are kept; a query looks
+    up the rarest of its own, and what is found there is compared."""
+    q = queries.select("query", F.lower("query").alias("q")).filter("q <> ''").distinct()
+    asked = q.withColumn("n", F.least(F.lit(GRAM), F.length("q"))).select("query", "q", F.explode(_grams("q", F.col("n"))).alias("gram"))
+    low = elements.select("artifact_id", "type", "id", "title", F.lower("title").alias("low"))
+    sizes = F.explode(F.concat(*(_grams("low", F.lit(n)) for n in range(1, GRAM + 1))))
+    index = low.select("*", sizes.alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = index.groupBy("gram").agg(F.count("*").alias("titles"))
+    # a gram that no title has is the rarest, and its query finds nothing
+    rarest = asked.join(counts, "gram", "left").groupBy("query", "q").agg(F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram")).alias("key"))
+    found = index.join(rarest.select("query", "q", F.col("key.gram").alias("gram")), "gram")
+    return found.filter(F.contains("low", F.col("q"))).select("query", "artifact_id", "type", "id", "title")
 
 
 def sort_artifacts(artifacts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from .catalog import query
 
 
 @query(sql="""
-WITH a AS (SELECT split_part(url, '/', 3) AS scope_id, sha256(CAST(page_id AS VARCHAR) || chr(10) || url || chr(10) || coalesce(html, '')) AS d FROM pages),
+WITH a AS (SELECT split_part(url, '/', 3) AS scope_id, sha256(length(CAST(page_id AS VARCHAR)) || ':' || page_id || length(url) || ':' || url || coalesce(length(html) || ':' || html, '-')) AS d FROM pages),
 g AS (SELECT scope_id, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM a GROUP BY scope_id, left(d, 3))
 SELECT scope_id, sha256(string_agg(d, chr(10) ORDER BY d)) AS catalog_revision_id FROM g GROUP BY scope_id""")
 def catalog_revision_id(spark):

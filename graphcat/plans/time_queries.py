@@ -230,6 +230,15 @@ def search_elements(spark, nodes, groups):
     return H.search_elements(e, q).drop("artifact_id")
 
 
+@query(sql="""
+SELECT DISTINCT q.n_name AS query, p.p_partkey AS id FROM part p JOIN (SELECT substr(n_name, 1, 1 + n_nationkey % 5) AS n_name FROM nation UNION SELECT substr(p_name, 2, 5) FROM part WHERE p_size = 7) q ON contains(lower(p.p_name), lower(q.n_name))""")
+def search_titles(spark):
+    """Titles of all parts that contain the beginning of a nation's name or a piece of another title."""
+    e = spark.sql("SELECT 'parts' AS artifact_id, 'node' AS type, p_partkey AS id, p_name AS title FROM part")
+    q = spark.sql("SELECT SUBSTR(n_name, 1, 1 + n_nationkey % 5) AS query FROM nation UNION SELECT SUBSTR(p_name, 2, 5) FROM part WHERE p_size = 7")
+    return H.search_elements(e, q).select("query", "id")
+
+
 @query(sql="SELECT p_name AS title, CAST(p_partkey AS VARCHAR) AS artifact_id FROM part ORDER BY 1, 2")
 def sort_artifacts(spark):
     return H.sort_artifacts(spark.table("part").select(F.col("p_name").alias("title"), F.col("p_partkey").cast("string").alias("artifact_id")))

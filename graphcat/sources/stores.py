@@ -36,7 +36,9 @@ def catalog_revisions(artifacts: DataFrame, *content: str) -> DataFrame:
     (scope_id, artifact_id) and the columns that make up their content, whatever
     their order. Digests are taken of groups first, so no scope meets in one
     place."""
-    one = F.sha2(F.concat_ws("\n", "artifact_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content)), 256)
+    # each value after its length, so that no other values make the same text
+    told = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+    one = F.sha2(F.concat(*(told(c) for c in ("artifact_id", *content))), 256)
     digests = artifacts.select("scope_id", one.alias("digest"))
     together = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
     groups = digests.groupBy("scope_id", F.left("digest", F.lit(DIGITS)).alias("start")).agg(together("digest").alias("digest"))
