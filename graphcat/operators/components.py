@@ -167,23 +167,44 @@ def expanded_negations(conditions: DataFrame) -> DataFrame:
     return e.join(folded, ["owner", "subject"]).filter("case_id <> literal").select("control_id", "case_id")
 
 
-def break_prerequisite_cycles(prerequisites: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def break_prerequisite_cycles(prerequisites: DataFrame) -> DataFrame:
     """prerequisites (artifact_id, control_id, req_control_id, creation_ix)
-    without those of the control created last on a ring, as long as there is one."""
+    without those of the control created last on a ring, as long as there is one;
+    of controls created together, the larger id is the later.
+
+    A requirement goes exactly when its control reaches itself through it by
+    controls that are not later. So the earliest time at which both ends are in
+    one strong component is looked for, for all requirements at once, by halving
+    the span of times: those connected among the earlier half stay there, the
+    others go to the later half, in which the components of the earlier one are
+    single nodes. Rounds grow with the logarithm of the controls on rings.
+    """
     from .graph import strongly_connected
 
-    now = settled(prerequisites)
-    for _ in range(max_rounds):
-        links = now.select("artifact_id", F.col("control_id").alias("source_id"), F.col("req_control_id").alias("target_id"))
-        nodes = links.select("artifact_id", F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
-        c = settled(strongly_connected(nodes, links))
-        inner = now.join(c.select("artifact_id", F.col("node_id").alias("control_id"), F.col("component").alias("p")), ["artifact_id", "control_id"]).join(c.select("artifact_id", F.col("node_id").alias("req_control_id"), F.col("component").alias("q")), ["artifact_id", "req_control_id"]).filter("p = q")
-        last = settled(inner.groupBy("artifact_id", "p").agg(F.max_by("control_id", F.struct("creation_ix", "control_id")).alias("control_id")).select("artifact_id", "p", "control_id"))
-        if last.isEmpty():
-            return now
-        drop = inner.join(last, ["artifact_id", "p", "control_id"], "left_semi").select("artifact_id", "control_id", "req_control_id")
-        now = settled(now.join(drop, ["artifact_id", "control_id", "req_control_id"], "left_anti"))
-    raise RuntimeError("rings left")
+    key = ["artifact_id", "control_id", "req_control_id"]
+    links = settled(prerequisites.select(*key).distinct())
+    ends = lambda df, a, b: df.select("artifact_id", F.explode(F.array(a, b)).alias("node_id")).distinct()
+    of = lambda parts, a, b: parts.select("artifact_id", F.col("node_id").alias(a), F.col("component").alias(b))
+
+    c = settled(strongly_connected(ends(links, "control_id", "req_control_id"), links.select("artifact_id", F.col("control_id").alias("source_id"), F.col("req_control_id").alias("target_id"))))
+    inner = links.join(of(c, "control_id", "p"), ["artifact_id", "control_id"]).join(of(c, "req_control_id", "q"), ["artifact_id", "req_control_id"]).filter("p = q").select(*key)
+    # whoever is on a ring requires something, so has a time
+    made = prerequisites.groupBy("artifact_id", "control_id").agg(F.max("creation_ix").alias("creation_ix")).join(inner.select("artifact_id", "control_id"), ["artifact_id", "control_id"], "left_semi")
+    times = settled(made.withColumn("time", F.row_number().over(Window.partitionBy("artifact_id").orderBy("creation_ix", "control_id"))))
+    last = times.groupBy("artifact_id").agg(F.max("time").alias("hi"))
+    timed = inner.join(times.select("artifact_id", "control_id", F.col("time").alias("own")), ["artifact_id", "control_id"]).join(times.select("artifact_id", F.col("control_id").alias("req_control_id"), F.col("time").alias("other")), ["artifact_id", "req_control_id"])
+    now = settled(timed.join(last, "artifact_id").select(*key, "own", F.greatest("own", "other").alias("since"), F.lit(1).alias("lo"), "hi", F.col("control_id").alias("u"), F.col("req_control_id").alias("w")))
+    while not now.filter("lo < hi").isEmpty():
+        # where lo = hi, the row stays as it is
+        half = now.withColumn("mid", F.expr("(lo + hi) div 2")).withColumn("part", F.struct("artifact_id", "lo"))
+        early = half.filter("lo < hi AND since <= mid AND u <> w").select(F.col("part").alias("artifact_id"), F.col("u").alias("source_id"), F.col("w").alias("target_id"))
+        c = settled(strongly_connected(ends(early, "source_id", "target_id"), early))
+        part = lambda at, name: c.select(F.col("artifact_id").alias("part"), F.col("node_id").alias(at), F.col("component").alias(name))  # noqa: B023, E731
+        told = half.join(part("u", "cu"), ["part", "u"], "left").join(part("w", "cw"), ["part", "w"], "left").withColumn("cu", F.coalesce("cu", "u")).withColumn("cw", F.coalesce("cw", "w"))
+        stays = (F.col("lo") >= F.col("hi")) | (F.col("since") <= F.col("mid")) & (F.col("cu") == F.col("cw"))
+        pick = lambda yes, no, name: F.when(stays, F.col(yes)).otherwise(no).alias(name)  # noqa: B023, E731
+        now = settled(told.select(*key, "own", "since", pick("lo", F.col("mid") + 1, "lo"), pick("mid", F.col("hi"), "hi"), pick("u", F.col("cu"), "u"), pick("w", F.col("cw"), "w")).repartition("artifact_id", "control_id"))
+    return prerequisites.join(now.filter("lo = own").select(*key), key, "left_anti")
 
 
 def component_origins(nodes: DataFrame, origins: DataFrame, aux: DataFrame, edges: DataFrame) -> DataFrame:

@@ -22,59 +22,132 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return closure(seeds.select("artifact_id", "node_id"), step, ["artifact_id", "node_id"], 100_000)
 
 
-def _trimmed(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Edges without those that no cycle can hold, by dropping ends that have no
-    way in or no way out until none is left."""
-    now = settled(edges.filter("source_id <> target_id").distinct())
+PLAIN = 4  #: every so many rounds of trimming, whole runs go instead of a layer
+PATIENCE = 8  #: rounds of labels before runs are contracted
+
+
+def _run_ends(pointers: DataFrame) -> DataFrame:
+    """(artifact_id, node_id, end, low) of a table with at most one pointer a
+    node (artifact_id, node_id, up): end is the first node without a pointer, null
+    where the chain goes round; low is the smallest node passed. Pointers are
+    doubled, so rounds grow with the logarithm of the longest chain."""
+    now = settled(pointers.select("artifact_id", "node_id", F.col("up").alias("end"), F.col("node_id").alias("low"), F.lit(True).alias("moved")))
+    n = now.groupBy("artifact_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(n.bit_length() + 1):
+        above = now.select("artifact_id", F.col("node_id").alias("end"), F.col("end").alias("next"), F.col("low").alias("other"))
+        now = settled(now.join(above, ["artifact_id", "end"], "left").select("artifact_id", "node_id", F.coalesce("next", "end").alias("end"), F.least("low", "other").alias("low"), F.col("next").isNotNull().alias("moved")))
+        if now.filter("moved").isEmpty():
+            break
+    return now.select("artifact_id", "node_id", F.when(~F.col("moved"), F.col("end")).alias("end"), "low")
+
+
+def _without_dead_ends(edges: DataFrame, at: str, to: str, far: bool) -> DataFrame:
+    """Edges (from at to to) without those to nodes with no way on; if far, also
+    without those to nodes whose only way on, however long, comes to such a node."""
+    if not far:
+        return edges.join(edges.select("artifact_id", F.col(at).alias(to)).distinct(), ["artifact_id", to], "left_semi")
+    ends = edges.select("artifact_id", F.col(to).alias("end")).distinct().join(edges.select("artifact_id", F.col(at).alias("end")), ["artifact_id", "end"], "left_anti")
+    single = edges.groupBy("artifact_id", F.col(at).alias("node_id")).agg(F.count("*").alias("n"), F.min(to).alias("up")).filter("n = 1")
+    runs = _run_ends(single).join(ends, ["artifact_id", "end"], "left_semi").select("artifact_id", F.col("node_id").alias(to))
+    return edges.join(runs.union(ends.withColumnRenamed("end", to)), ["artifact_id", to], "left_anti")
+
+
+def _peeled(edges: DataFrame, ways: tuple[tuple[str, str], ...], max_rounds: int = 100_000) -> DataFrame:
+    """Distinct edges left when those to dead ends are dropped again and again."""
+    now = settled(edges.select("artifact_id", "source_id", "target_id").distinct())
     n = now.count()
-    for _ in range(max_rounds):
-        into = now.select("artifact_id", F.col("target_id").alias("source_id")).distinct()
-        outof = now.select("artifact_id", F.col("source_id").alias("target_id")).distinct()
-        now = settled(now.join(into, ["artifact_id", "source_id"], "left_semi").join(outof, ["artifact_id", "target_id"], "left_semi"))
+    for i in range(1, max_rounds):
+        for at, to in ways:
+            now = _without_dead_ends(now, at, to, i % PLAIN == 0)
+        now = settled(now)
         if (m := now.count()) == n:
             return now
         n = m
     raise RuntimeError("trimming did not end")
 
 
-def _spread(edges: DataFrame, labels: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Smallest label that reaches each node along edges."""
-    now = settled(labels)
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those that no cycle can hold for want of a way in or out."""
+    return _peeled(edges.filter("source_id <> target_id"), (("source_id", "target_id"), ("target_id", "source_id")))
+
+
+def _spread(edges: DataFrame, labels: DataFrame, max_rounds: int = 100_000) -> DataFrame | None:
+    """Smallest label that reaches each node along edges; None if that takes
+    more rounds. Only labels that changed are sent on."""
+    now = moved = settled(labels)
     for _ in range(max_rounds):
-        come = edges.join(now.select("artifact_id", F.col("node_id").alias("source_id"), "label"), ["artifact_id", "source_id"]).groupBy("artifact_id", F.col("target_id").alias("node_id")).agg(F.min("label").alias("new"))
+        come = edges.join(moved.select("artifact_id", F.col("node_id").alias("source_id"), "label"), ["artifact_id", "source_id"]).groupBy("artifact_id", F.col("target_id").alias("node_id")).agg(F.min("label").alias("new"))
         both = settled(now.join(come, ["artifact_id", "node_id"], "left").select("artifact_id", "node_id", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
-        if both.filter("moved").isEmpty():
-            return both.drop("moved")
-        now = both.drop("moved")
-    raise RuntimeError("labels did not settle")
+        now, moved = both.drop("moved"), both.filter("moved").drop("moved")
+        if moved.isEmpty():
+            return now
+    return None
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with each run of nodes of one way in and one way out as one edge;
+    the nodes of runs (artifact_id, node_id, head, tail), where head and tail are
+    the nodes beside the run; and rings of nothing but such nodes (artifact_id,
+    node_id, component)."""
+    one = lambda at, to, name: edges.groupBy("artifact_id", F.col(at).alias("node_id")).agg(F.count("*").alias("n"), F.min(to).alias(name)).filter("n = 1").drop("n")
+    inner = settled(one("target_id", "source_id", "before").join(one("source_id", "target_id", "after"), ["artifact_id", "node_id"]))
+    heads = _run_ends(inner.withColumnRenamed("before", "up"))
+    tails = _run_ends(inner.withColumnRenamed("after", "up"))
+    both = settled(heads.withColumnRenamed("end", "head").join(tails.select("artifact_id", "node_id", F.col("end").alias("tail")), ["artifact_id", "node_id"]))
+    runs = both.filter("head IS NOT NULL").select("artifact_id", "node_id", "head", "tail")
+    gone = both.select("artifact_id", "node_id")
+    kept = edges.join(gone.withColumnRenamed("node_id", "source_id"), ["artifact_id", "source_id"], "left_anti").join(gone.withColumnRenamed("node_id", "target_id"), ["artifact_id", "target_id"], "left_anti")
+    over = runs.filter("head <> tail").select("artifact_id", F.col("head").alias("source_id"), F.col("tail").alias("target_id"))
+    return settled(kept.select("artifact_id", "source_id", "target_id").union(over).distinct()), runs, both.filter("head IS NULL").select("artifact_id", "node_id", F.col("low").alias("component"))
 
 
 def strongly_connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(artifact_id, node_id, component): component is the smallest node of the
-    strong component. Nodes on no cycle are their own.
-
-    Each round trims, colours every node with the smallest one that reaches it,
-    and closes the components of those roots backwards within their colour.
+    strong component. Nodes on no cycle are their own. artifact_id can be of any
+    type that can be compared, structs included.
+
+    Each round trims, colours every node with the first one, by hash, that
+    reaches it, closes the components of those roots backwards within their
+    colour, and drops edges between colours. As the order is by hash, rounds are
+    few on long rows of components, too. Where colours travel far, runs of single
+    ways become one edge first; their nodes are of the component of both ends, if
+    that is one.
     """
-    done = nodes.select("artifact_id", "node_id").distinct().withColumn("component", F.col("node_id")).limit(0)
-    left = _trimmed(edges.select("artifact_id", "source_id", "target_id"))
-    for _ in range(max_rounds):
-        if left.isEmpty():
+    every = nodes.select("artifact_id", "node_id").distinct()
+    done = every.withColumn("component", F.col("node_id")).limit(0)
+    left, contracted, patience = _trimmed(edges), [], PATIENCE
+    for turn in range(max_rounds):
+        if (n := left.count()) == 0:
             break
         ends = left.select("artifact_id", F.col("source_id").alias("node_id")).union(left.select("artifact_id", "target_id")).distinct()
-        colour = _spread(left, ends.withColumn("label", F.col("node_id")))
-        same = left.join(colour.select("artifact_id", F.col("node_id").alias("source_id"), F.col("label").alias("c")), ["artifact_id", "source_id"]).join(colour.select("artifact_id", F.col("node_id").alias("target_id"), F.col("label").alias("d")), ["artifact_id", "target_id"]).filter("c = d")
-        back = settled(same.select("artifact_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
-        members = reachable(back, colour.filter("node_id = label").select("artifact_id", "node_id"))
+        colour = _spread(left, ends.withColumn("label", F.struct(F.xxhash64("node_id", F.lit(turn)).alias("h"), F.col("node_id").alias("root"))), patience)
+        if colour is None:
+            left, runs, rings = _contracted(left)
+            contracted.append(runs)
+            done = done.unionByName(rings)
+            left = _trimmed(left)
+            patience = PATIENCE if left.count() < n else MAX_ROUNDS
+            continue
+        patience = PATIENCE
+        same = settled(left.join(colour.select("artifact_id", F.col("node_id").alias("source_id"), F.col("label").alias("c")), ["artifact_id", "source_id"]).join(colour.select("artifact_id", F.col("node_id").alias("target_id"), F.col("label").alias("d")), ["artifact_id", "target_id"]).filter("c = d").select("artifact_id", "source_id", "target_id"))
+        back = same.select("artifact_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+        members = reachable(back, colour.filter("node_id = label.root").select("artifact_id", "node_id"))
         # a colour has one root, and back edges stay within a colour
-        found = settled(members.join(colour, ["artifact_id", "node_id"]).select("artifact_id", "node_id", F.col("label").alias("component")))
+        found = settled(members.join(colour, ["artifact_id", "node_id"]).select("artifact_id", "node_id", F.col("label.root").alias("component")))
         done = done.unionByName(found)
         gone = found.select("artifact_id", "node_id")
-        left = left.join(gone.withColumnRenamed("node_id", "source_id"), ["artifact_id", "source_id"], "left_anti").join(gone.withColumnRenamed("node_id", "target_id"), ["artifact_id", "target_id"], "left_anti")
+        left = same.join(gone.withColumnRenamed("node_id", "source_id"), ["artifact_id", "source_id"], "left_anti").join(gone.withColumnRenamed("node_id", "target_id"), ["artifact_id", "target_id"], "left_anti")
         left = _trimmed(left)
     else:
         raise RuntimeError(f"components left after {max_rounds} rounds")
-    return nodes.select("artifact_id", "node_id").distinct().join(done, ["artifact_id", "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
+    for runs in reversed(contracted):
+        end = lambda name: done.select("artifact_id", F.col("node_id").alias(name), F.col("component").alias(f"of_{name}"))  # noqa: B023, E731
+        told = runs.join(end("head"), ["artifact_id", "head"], "left").join(end("tail"), ["artifact_id", "tail"], "left")
+        inside = told.select("artifact_id", "node_id", F.coalesce("of_head", "head").alias("component"), F.coalesce("of_tail", "tail").alias("other")).filter("component = other").drop("other")
+        done = settled(done.unionByName(inside).repartition("artifact_id", "node_id"))
+    out = every.join(done, ["artifact_id", "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
+    low = out.groupBy("artifact_id", "component").agg(F.min("node_id").alias("low"))
+    return out.join(low, ["artifact_id", "component"]).select("artifact_id", "node_id", F.col("low").alias("component"))
 
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -84,8 +157,6 @@ def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
     return edges.join(c, ["artifact_id", "source_id"]).join(d, ["artifact_id", "target_id"]).filter("a <> b").select("artifact_id", F.col("a").alias("source_id"), F.col("b").alias("target_id")).distinct()
 
 
-
-
 def longest_paths(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(artifact_id, node_id, rank): edges on the longest way into each node of
     an acyclic graph.
@@ -154,18 +225,11 @@ def on_pointer_cycles(pointers: DataFrame) -> DataFrame:
     return now.filter("up IS NOT NULL").select("artifact_id", "node_id")
 
 
-def in_cycles_or_before(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def in_cycles_or_before(edges: DataFrame) -> DataFrame:
     """Edges left when nodes without a way out are dropped again and again: those
-    of cycles and of ways into cycles. None are left in acyclic artifacts."""
-    now = settled(edges.select("artifact_id", "source_id", "target_id").distinct())
-    n = now.count()
-    for _ in range(max_rounds):
-        alive = now.select("artifact_id", F.col("source_id").alias("target_id")).distinct()
-        now = settled(now.join(alive, ["artifact_id", "target_id"], "left_semi"))
-        if (m := now.count()) == n:
-            return now
-        n = m
-    raise RuntimeError("trimming did not end")
+    of cycles and of ways into cycles. None are left in acyclic artifacts. A run
+    of nodes with one way out each goes at once."""
+    return _peeled(edges, (("source_id", "target_id"),))
 
 
 def merge_equivalent(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
