@@ -137,8 +137,8 @@ def test_rings_broken_as_by_the_sequential_rule(spark):
 
 
 def test_a_chain_of_rings(spark):
-    """Four rings of three, each next to the other: every ring's last control
-    goes, in rounds that grow with the logarithm of the controls."""
+    """Four rings of three, each leading to the next: every ring's last control
+    goes, and the ways between rings stay."""
     i = spark.range(4).withColumnRenamed("id", "i")
     edge = lambda s, t: F.struct(F.expr(s).alias("control_id"), F.expr(t).alias("req_control_id"))
     p = i.select(F.lit("a").alias("artifact_id"), F.explode(F.array(edge("3*i", "3*i+1"), edge("3*i+1", "3*i+2"), edge("3*i+2", "3*i"), edge("3*i", "3*i+3"))).alias("e")).select("artifact_id", "e.*", F.expr("e.control_id").alias("creation_ix")).filter("req_control_id < 12")
