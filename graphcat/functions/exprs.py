@@ -83,10 +83,13 @@ def parse_source_href(href: Column | str) -> Column:
 
 
 def link_label(text: Column | str, href: Column | str) -> Column:
-    """A link's text, else the file name of a source link, else the link."""
+    """A link's text, else the file name of a source link, else the link. The name
+    stays encoded, and what a URL does not hold as it is gets encoded."""
     text, href = _c(text), _c(href)
-    name = F.try_url_decode(F.element_at(F.split(F.regexp_replace(href, "[?#].*$", ""), "/"), -1))
-    return F.coalesce(text, F.when(href.startswith("source:"), F.when(name != "", name)), href)
+    name = F.element_at(F.split(F.regexp_extract(href, "^source:(?://[^/?#]*)?([^?#]*)", 1), r"[\\/]"), -1)
+    odd = lambda x: F.when(x.rlike("^[\\x20-\\x7E]$") & ~x.rlike("[ \"<>`{}^]"), x).otherwise(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")))
+    name = F.array_join(F.transform(F.regexp_extract_all(name, F.lit("(?s)(.)"), F.lit(1)), odd), "")
+    return F.coalesce(F.when(text != "", text), F.when(href.startswith("source:") & ~name.isin("", ".", ".."), name), href)
 
 
 def package_name(specifier: Column | str, resolved: Column | str) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixpoint import MAX_ROUNDS, settled
+from ..fixpoint import MAX_ROUNDS, closure, settled
 from ..functions.exprs import glob_regex, hashed_id, to_definition_id
 from .graph import reachable
 
@@ -25,27 +25,40 @@ def component_visibility(definitions: DataFrame, rules: list[str]) -> DataFrame:
     return definitions.withColumn("visible", out)
 
 
-def consumer_routes(supplied: DataFrame, rules: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Ends of supplied values: (value_id, component, prop) at rules that render.
+def consumer_routes(supplied: DataFrame, rules: DataFrame, analyzed: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Ends of supplied values: (value_id, component, prop, and value_kind if
+    supplied has it).
 
-    supplied (value_id, component, prop); rules (component, prop, kind, to_component,
-    to_prop, excluded array): kind render or forward; a forward of prop '*'
-    takes all props that it does not exclude, under their names. A value does not
-    pass a component and prop twice.
+    supplied (value_id, component, prop, and value_kind if kinds are told apart);
+    rules (component, prop, kind, to_component, to_prop, excluded array): kind
+    render or forward; a forward of prop '*' takes all props that it does not
+    exclude, under their names; a render rule with value_kind ends values of that
+    kind alone. A value does not pass a component and prop twice.
+
+    A value ends as well at a component outside analyzed (component; where not
+    given, those with a rule), unless it is a render-prop under the name of an
+    event as onClick: such values are dropped there.
     """
-    key = ["value_id", "component", "prop"]
-    exact = rules.filter("prop <> '*' AND kind = 'forward'").select("component", "prop", "to_component", "to_prop")
+    told = "value_kind" in supplied.columns
+    values = supplied.select("value_id", "component", "prop", (F.col("value_kind") if told else F.lit("")).alias("value_kind"))
+    known = (rules if analyzed is None else analyzed).select("component").distinct()
+    rules = rules.join(known, "component", "left_semi")
+    exact = rules.filter("prop <> '*' AND kind = 'forward'").select("component", "prop", "to_component", "to_prop").distinct()
     spread = rules.filter("prop = '*' AND kind = 'forward'").select("component", "to_component", F.coalesce("excluded", F.array().cast("array<string>")).alias("excluded"))
-    seen = frontier = settled(supplied.select(*key).distinct())
-    for _ in range(max_rounds):
-        one = frontier.join(exact, ["component", "prop"]).select("value_id", F.col("to_component").alias("component"), F.col("to_prop").alias("prop"))
-        more = frontier.join(spread, "component").filter(~F.array_contains("excluded", F.col("prop"))).select("value_id", F.col("to_component").alias("component"), F.concat("prop", F.lit("")).alias("prop"))
-        frontier = settled(one.union(more).distinct().join(seen, key, "left_anti"))
-        if frontier.isEmpty():
-            ends = rules.filter("kind = 'render'").select("component", "prop").distinct()
-            return seen.join(ends, ["component", "prop"], "left_semi").select(*key)
-        seen = settled(seen.unionByName(frontier))
-    raise RuntimeError("routes did not end")
+
+    def step(f: DataFrame) -> DataFrame:
+        to = F.col("to_component").alias("component")
+        one = f.join(exact, ["component", "prop"]).select("value_id", to, F.col("to_prop").alias("prop"), "value_kind")
+        # the concat makes prop a new attribute, without which Spark's union fails on its constraints
+        more = f.join(spread, "component").filter(~F.array_contains("excluded", F.col("prop"))).select("value_id", to, F.concat("prop", F.lit("")).alias("prop"), "value_kind")
+        return one.union(more)
+
+    seen = closure(values, step, ["value_id", "component", "prop", "value_kind"], max_rounds)
+    ends = rules.filter("kind = 'render'").select(F.col("component").alias("at"), F.col("prop").alias("as"), (F.col("value_kind") if "value_kind" in rules.columns else F.lit(None).cast("string")).alias("of")).distinct()
+    rendered = seen.join(ends, (F.col("component") == F.col("at")) & (F.col("prop") == F.col("as")) & (F.col("of").isNull() | (F.col("of") == F.col("value_kind"))), "left_semi")
+    event = (F.col("value_kind") == "render-prop") & F.col("prop").rlike("^on[A-Z]")
+    outside = seen.join(known, "component", "left_anti").filter(~event)
+    return rendered.unionByName(outside).select("value_id", "component", "prop", *(["value_kind"] if told else []))
 
 
 def expand_instances(uses: DataFrame, roots: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:

@@ -73,15 +73,39 @@ def lowest_common_scope(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.select(*edges.columns, "depth", F.when(F.col("depth") > 0, F.try_element_at("source_path", F.greatest("depth", F.lit(1)))).alias("scope"), child("source"), child("target"))
 
 
+def _free_ids(wanted: DataFrame, reserved: DataFrame, prefix: str, key: list[str], name: str) -> DataFrame:
+    """wanted (artifact_id, the key, base) with base as id, colons added while
+    the id is reserved or taken by a base before, in order of the bases. Only
+    ids that differ in colons at their end alone can meet; those are numbered by
+    their colons, so no id waits for another."""
+    stem, colons = lambda c: F.regexp_replace(c, ":*$", ""), lambda c: F.length(c) - F.length(F.regexp_replace(c, ":*$", ""))
+    taken = reserved.filter(F.col("id").startswith(prefix)).select("artifact_id", stem("id").alias("stem"), colons("id").alias("n"))
+    # of the reserved numbers r0 < r1 < ..: how many free ones lie below each
+    gaps = taken.groupBy("artifact_id", "stem").agg(F.sort_array(F.collect_set("n")).alias("used"))
+    gaps = gaps.select("artifact_id", "stem", "used", F.transform("used", lambda r, i: r - i).alias("gaps"))
+    w = wanted.withColumns({"stem": stem("base"), "k": colons("base")}).join(gaps, ["artifact_id", "stem"], "left")
+    below = F.col("k") - F.coalesce(F.size(F.filter("used", lambda r: r < F.col("k"))), F.lit(0))
+    order = Window.partitionBy("artifact_id", "stem").orderBy("k")
+    w = w.withColumns({"below": below, "i": F.row_number().over(order)})
+    place = F.max(F.col("below") - F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i")
+    w = w.withColumn("place", place)
+    number = F.col("place") + F.coalesce(F.size(F.filter("gaps", lambda g: g <= F.col("place"))), F.lit(0))
+    return w.select("artifact_id", *key, F.concat("stem", F.repeat(F.lit(":"), number.cast("int"))).alias(name))
+
+
 def bundle_ids(groups: DataFrame, reserved: DataFrame) -> DataFrame:
     """(artifact_id, group_id, bundle_id): bundle:<group>, with as many colons
-    added as it takes to be no reserved id (artifact_id, id)."""
-    ids = groups.select("artifact_id", "group_id", F.concat(F.lit("bundle:"), "group_id").alias("base"))
-    # a reserved id that is the base and colons
-    taken = reserved.withColumn("base", F.regexp_replace("id", ":*$", "")).join(ids.withColumn("base", F.regexp_replace("base", ":*$", "")).select("artifact_id", "base", "group_id", F.col("base").alias("b"), F.concat(F.lit("bundle:"), "group_id").alias("full")), ["artifact_id", "base"])
-    extra = taken.filter(F.col("id").startswith(F.col("full"))).groupBy("artifact_id", "group_id").agg(F.collect_set(F.length("id") - F.length("full")).alias("used"))
-    free = F.filter(F.sequence(F.lit(0), F.size("used")), lambda i: ~F.array_contains("used", i))
-    return ids.join(extra, ["artifact_id", "group_id"], "left").select("artifact_id", "group_id", F.concat("base", F.repeat(F.lit(":"), F.when(F.col("used").isNull(), 0).otherwise(F.element_at(free, 1)))).alias("bundle_id"))
+    added as it takes to be neither a reserved id (artifact_id, id) nor that of
+    another bundle."""
+    return _free_ids(groups.select("artifact_id", "group_id", F.concat(F.lit("bundle:"), "group_id").alias("base")).distinct(), reserved, "bundle:", ["group_id"], "bundle_id")
+
+
+def aggregate_ids(aggregates: DataFrame, reserved: DataFrame) -> DataFrame:
+    """(artifact_id, source_id, target_id, aggregate_id) of aggregates: the ends as
+    a JSON array after aggregate:, with colons added while that is a reserved id."""
+    base = F.concat(F.lit("aggregate:"), F.to_json(F.array("source_id", "target_id")))
+    ends = aggregates.select("artifact_id", "source_id", "target_id").distinct()
+    return _free_ids(ends.withColumn("base", base), reserved, "aggregate:", ["source_id", "target_id"], "aggregate_id")
 
 
 def reserved_ids(groups: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import link_label
 
 GRAM = 3  #: letters of a key; shorter queries are keys themselves
 
@@ -104,3 +105,13 @@ def audit_shared_walkthroughs(links: DataFrame, artifacts: DataFrame) -> DataFra
     d = links.select(decode_walkthrough("parameter", schema).alias("w")).select(F.col("w.artifactId").alias("artifact_id"))
     d = d.join(artifacts.select("artifact_id", F.lit(True).alias("known")), "artifact_id", "left")
     return d.groupBy("artifact_id").agg(F.count_if(F.col("known")).alias("n_ok"), F.count_if(F.col("artifact_id").isNotNull() & F.col("known").isNull()).alias("n_invalid"), F.count_if(F.col("artifact_id").isNull()).alias("n_undecodable"))
+
+
+def link_inventory(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every link of artifacts, nodes and edges, with its label: links
+    (artifact_id, kind, element_id, link_ix, text, href) and edges (artifact_id,
+    edge_id, href; null for none). Both may have scope_id."""
+    key = [c for c in ("scope_id", "artifact_id") if c in links.columns]
+    of_edges = edges.filter("href IS NOT NULL").select(*key, F.lit("edge").alias("kind"), F.col("edge_id").alias("element_id"), F.lit(0).alias("link_ix"), F.lit(None).cast("string").alias("text"), "href")
+    every = links.select(*key, "kind", "element_id", "link_ix", "text", "href").unionByName(of_edges)
+    return every.withColumn("label", link_label("text", "href"))

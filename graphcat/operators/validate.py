@@ -265,3 +265,54 @@ def validate_catalog(artifacts: DataFrame, *found: DataFrame) -> DataFrame:
     switch = F.broadcast(spark.createDataFrame(rows, "code string, component boolean"))
     layouts = artifacts.select("artifact_id", (F.col("layout_id") == "component-structure").alias("component"))
     return reduce(DataFrame.unionByName, found).join(layouts, "artifact_id").join(switch, ["code", "component"], "left_semi").select(*ISSUE)
+
+
+def _elements(groups: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    of = lambda df, element: df.select("artifact_id", F.lit(element).alias("element"), "ordinal", "type")
+    return of(groups, "groups").union(of(nodes, "nodes")).union(of(edges, "edges"))
+
+
+def _owned(requirements: DataFrame, prerequisites: DataFrame) -> DataFrame:
+    of_edges = requirements.select("artifact_id", F.concat(F.lit("edges/"), "edge_id").alias("owner"), "rule_ix", "req_ix", "control_id", "value")
+    of_controls = prerequisites.select("artifact_id", F.concat(F.lit("layoutContext/controls/"), "control_id").alias("owner"), "rule_ix", "req_ix", F.col("req_control_id").alias("control_id"), "value")
+    return of_edges.union(of_controls)
+
+
+#: Each rule with the tables of a catalog (as explode_graph names them) that it takes.
+RULES = {
+    "duplicate_element_ids": (duplicate_element_ids, ("groups", "nodes", "edges")),
+    "unknown_parent_groups": (unknown_parent_groups, ("groups",)),
+    "group_cycles": (group_cycles, ("groups",)),
+    "unknown_node_groups": (unknown_node_groups, ("nodes", "groups")),
+    "dangling_edges": (dangling_edges, ("edges", "nodes")),
+    "message_endpoint_types": (message_endpoint_types, ("edges", "nodes")),
+    "element_type_contract": (lambda g, n, e, a: element_type_contract(_elements(g, n, e), a), ("groups", "nodes", "edges", "artifacts")),
+    "sequence_shape": (sequence_shape, ("artifacts", "groups", "nodes")),
+    "activation_issues": (lambda a, e: activation_issues(a, e.filter("type = 'message'")), ("activations", "edges")),
+    "fragment_branch_issues": (lambda b, e: fragment_branch_issues(b, e.filter("type = 'message'")), ("branches", "edges")),
+    "root_issues": (root_issues, ("roots", "nodes")),
+    "control_issues": (control_issues, ("controls", "cases", "nodes")),
+    "aux_definition_duplicates": (aux_definition_duplicates, ("aux_definitions",)),
+    "ruleset_issues": (lambda r, p, c, k: ruleset_issues(_owned(r, p), c, k), ("requirements", "prerequisites", "controls", "cases")),
+    "undeclared_roots": (undeclared_roots, ("nodes", "edges", "roots")),
+    "control_cycles": (control_cycles, ("prerequisites",)),
+}
+
+
+def check_graphs(artifacts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(scope_id, artifact_id, path, code, message): all rules over the tables of
+    explode_graph, those that apply to the layout of each artifact (scope_id,
+    artifact_id, layout_id), and ids that a scope uses more than once.
+
+    Scope and id together are the key of all rules, so that artifacts of one id
+    in several scopes are not mixed. Rules of layouts that do not occur are
+    planned, too; they find no rows.
+    """
+    both = F.struct("scope_id", "artifact_id").alias("artifact_id")
+    keyed = {name: df.select(both, *(c for c in df.columns if c not in ("scope_id", "artifact_id"))) for name, df in tables.items()}
+    keyed["artifacts"] = artifacts.select(both, "layout_id").distinct()
+    found = validate_catalog(keyed["artifacts"], *(rule(*(keyed[t] for t in names)) for rule, names in RULES.values()))
+    of_graphs = found.select("artifact_id.*", "path", "code", "message")
+    again = duplicate_artifacts(artifacts).withColumn("copy", F.explode(F.sequence(F.lit(2), F.col("n"))))
+    of_catalog = again.select("scope_id", "artifact_id", F.lit("artifactId").alias("path"), F.lit("duplicate_artifacts").alias("code"), F.concat(F.lit("Duplicate artifact path: "), "artifact_id").alias("message"))
+    return of_graphs.union(of_catalog)

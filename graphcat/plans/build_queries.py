@@ -215,14 +215,24 @@ def focus_on_roots(spark, edges):
     return C.focus_on_roots(nodes, e, ["19*"])[1].select("edge_id")
 
 
-@query("flow_edges")
+@query("flow_edges", recursive=True, sql=""",
+e AS (SELECT DISTINCT source_id AS s, target_id AS t FROM flow_edges), known AS (SELECT DISTINCT s AS c FROM e WHERE s % 11 <> 0),
+fwd AS (SELECT s, CASE WHEN s % 3 = 0 THEN NULL WHEN t % 2 = 0 THEN 'children' ELSE 'onClick' END AS prop, t, CASE WHEN t % 5 = 0 THEN 'onSelect' ELSE 'children' END AS to_prop, CASE WHEN s % 2 = 0 THEN 'onClick' ELSE 'key' END AS excluded FROM e JOIN known ON c = s),
+r AS (SELECT 'v:' || (s % 10) AS v, CASE WHEN s % 2 = 0 THEN 'slot' ELSE 'render-prop' END AS k, s AS c, CASE WHEN s % 4 = 1 THEN 'onClick' ELSE 'children' END AS p FROM e
+  UNION SELECT r.v, r.k, f.t, coalesce(CASE WHEN f.prop IS NOT NULL THEN f.to_prop END, r.p) FROM r JOIN fwd f ON f.s = r.c AND (f.prop = r.p OR f.prop IS NULL AND f.excluded <> r.p)),
+ends AS (SELECT DISTINCT r.* FROM r JOIN known ON known.c = r.c WHERE r.p = 'children' AND r.c % 7 = 0 AND r.k = CASE WHEN r.c % 2 = 0 THEN 'slot' ELSE 'render-prop' END
+  UNION SELECT * FROM r WHERE c NOT IN (SELECT c FROM known) AND NOT (k = 'render-prop' AND regexp_matches(p, '^on[A-Z]')))
+SELECT v AS value_id, k AS value_kind, c AS component, p AS prop FROM ends""")
 def consumer_routes(spark, edges):
-    """Ten values, each supplied to a tenth of the parts, forwarded along edges under a prop of
-    the edge, rendered at parts that lead nowhere or to a third kind."""
-    supplied = edges.select(F.concat_ws(":", F.lit("v"), F.col("source_id") % 10).alias("value_id"), F.col("source_id").alias("component"), F.lit("children").alias("prop")).distinct()
-    forward = edges.select(F.col("source_id").alias("component"), F.when(F.col("source_id") % 3 == 0, "*").otherwise("children").alias("prop"), F.lit("forward").alias("kind"), F.col("target_id").alias("to_component"), F.lit("children").alias("to_prop"), F.array(F.lit("key")).alias("excluded"))
-    render = edges.select(F.col("target_id").alias("component"), F.lit("children").alias("prop"), F.lit("render").alias("kind"), F.lit(None).cast("bigint").alias("to_component"), F.lit(None).cast("string").alias("to_prop"), F.lit(None).cast("array<string>").alias("excluded")).filter("component % 7 = 0").distinct()
-    return C.consumer_routes(supplied, forward.unionByName(render)).groupBy("component").agg(F.count("*").alias("n_values"))
+    """Ten values of two kinds, each supplied to a tenth of the parts, forwarded along edges
+    under names or as a whole, to parts that render, are not analysed or lead nowhere."""
+    of = lambda c: edges.select(F.col("source_id").alias("component"), "target_id").distinct().filter(c)
+    s, t = F.col("component"), F.col("target_id")
+    supplied = of("true").select(F.concat_ws(":", F.lit("v"), s % 10).alias("value_id"), F.when(s % 2 == 0, "slot").otherwise("render-prop").alias("value_kind"), "component", F.when(s % 4 == 1, "onClick").otherwise("children").alias("prop")).distinct()
+    prop = F.when(s % 3 == 0, "*").when(t % 2 == 0, "children").otherwise("onClick")
+    forward = of("true").select("component", prop.alias("prop"), F.lit("forward").alias("kind"), t.alias("to_component"), F.when(t % 5 == 0, "onSelect").otherwise("children").alias("to_prop"), F.array(F.when(s % 2 == 0, "onClick").otherwise("key")).alias("excluded"))
+    render = of("component % 7 = 0").select("component", F.lit("children").alias("prop"), F.lit("render").alias("kind"), F.when(s % 2 == 0, "slot").otherwise("render-prop").alias("value_kind")).distinct()
+    return C.consumer_routes(supplied, forward.unionByName(render, allowMissingColumns=True), of("component % 11 <> 0").select("component")).select("value_id", "value_kind", "component", "prop")
 
 
 @query("dep_groups", recursive=True, sql=""",
