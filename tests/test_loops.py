@@ -144,3 +144,39 @@ def test_a_chain_of_rings(spark):
     p = i.select(F.lit("a").alias("artifact_id"), F.explode(F.array(edge("3*i", "3*i+1"), edge("3*i+1", "3*i+2"), edge("3*i+2", "3*i"), edge("3*i", "3*i+3"))).alias("e")).select("artifact_id", "e.*", F.expr("e.control_id").alias("creation_ix")).filter("req_control_id < 12")
     left = C.break_prerequisite_cycles(p)
     assert {(r["control_id"], r["req_control_id"]) for r in p.exceptAll(left).collect()} == {(3 * k + 2, 3 * k) for k in range(4)}
+
+
+def test_settled_leaves_no_shuffle_files(spark):
+    """A loop's disk holds the shuffles of one round, and tables without void columns."""
+    from pyspark.sql import functions as F
+
+    from graphcat.fixpoint import WRITTEN, discard, settled
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    rows = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.concat(F.lit("node:"), F.col("id")).alias("v"), F.lit(None).alias("none"))
+    before = disk.getAllFiles().size()
+    table = settled(rows.repartition(4, "k").groupBy("k", "none").agg(F.count("*").alias("n"), F.max("v").alias("v")))
+    assert disk.getAllFiles().size() <= before
+    assert table.columns == ["k", "none", "n", "v"] and dict(table.dtypes)["none"] == "void"
+    assert table.agg(F.count("*"), F.sum("n"), F.max("v")).first()[:2] == (5000, 20_000)
+    names = {f.rpartition("/")[0].rpartition("/")[2] for f in table.inputFiles()}
+    assert names <= WRITTEN
+    discard(table)
+    assert not names & WRITTEN
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path):
+    from graphcat.plans import fixtures
+
+    for name in fixtures.STAR:
+        spark.range(10).write.parquet(f"{tmp_path}/{name}.parquet")
+    (tmp_path / "lineitem.parquet" / "part-x").write_bytes(b"x" * (10 * fixtures.PART_BYTES))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        fixtures.deal_out(spark, str(tmp_path))
+        assert int(spark.conf.get(names[0])) == 11
+        assert all(fixtures._bytes(spark.conf.get(n)) <= fixtures.MOST_BYTES for n in names[1:])
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
