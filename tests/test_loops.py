@@ -180,3 +180,22 @@ def test_partitions_grow_with_the_input(spark, tmp_path):
     finally:
         for n, value in before.items():
             spark.conf.set(n, value)
+
+
+def _counted(spark, rows, schema):
+    """A table, and how many of its rows have been made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def passed(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    return spark.createDataFrame(rows, schema).mapInPandas(passed, schema), made
+
+
+def test_loops_make_their_edges_once(spark):
+    edges, made = _counted(spark, [("a", i, i + 1) for i in range(6)], "artifact_id string, source_id long, target_id long")
+    seed = spark.createDataFrame([("a", 0)], "artifact_id string, node_id long")
+    assert {r.node_id for r in G.reachable(edges, seed).collect()} == set(range(7))
+    assert made.value == 6
