@@ -227,6 +227,7 @@ SELECT v AS value_id, k AS value_kind, c AS component, p AS prop FROM ends""")
 def consumer_routes(spark, edges):
     """Ten values of two kinds, each supplied to a tenth of the parts, forwarded along edges
     under names or as a whole, to parts that render, are not analysed or lead nowhere."""
+    edges = settled(edges)
     of = lambda c: edges.select(F.col("source_id").alias("component"), "target_id").distinct().filter(c)
     s, t = F.col("component"), F.col("target_id")
     supplied = of("true").select(F.concat_ws(":", F.lit("v"), s % 10).alias("value_id"), F.when(s % 2 == 0, "slot").otherwise("render-prop").alias("value_kind"), "component", F.when(s % 4 == 1, "onClick").otherwise("children").alias("prop")).distinct()

@@ -199,3 +199,13 @@ def test_loops_make_their_edges_once(spark):
     seed = spark.createDataFrame([("a", 0)], "artifact_id string, node_id long")
     assert {r.node_id for r in G.reachable(edges, seed).collect()} == set(range(7))
     assert made.value == 6
+
+
+def test_routes_of_values_make_their_rules_once(spark):
+    rows = [(i, "p", "forward", i + 1, "p", None) for i in range(4)] + [(4, "p", "render", None, None, None)]
+    rules, made = _counted(spark, rows, "component long, prop string, kind string, to_component long, to_prop string, excluded array<string>")
+    known = spark.createDataFrame([(i,) for i in range(5)], "component long")
+    supplied = spark.createDataFrame([("v", 0, "p")], "value_id string, component long, prop string")
+    ends = C.consumer_routes(supplied, rules, known)
+    assert [tuple(r) for r in ends.collect()] == [("v", 4, "p")]
+    assert made.value == 5
