@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphcat.operators import components as C
 from graphcat.operators import graph as G
+from graphcat.operators import hierarchy as H
 
 EDGES = "artifact_id string, source_id long, target_id long"
 
@@ -209,3 +210,17 @@ def test_routes_of_values_make_their_rules_once(spark):
     ends = C.consumer_routes(supplied, rules, known)
     assert [tuple(r) for r in ends.collect()] == [("v", 4, "p")]
     assert made.value == 5
+
+
+def test_overview_and_focus_make_their_edges_once(spark):
+    groups = spark.createDataFrame([("d", g, g, None, False) for g in ("g", "h")], "artifact_id string, group_id string, title string, parent_group_id string, synthetic boolean")
+    nodes = spark.createDataFrame([("d", "a", "g"), ("d", "b", "g"), ("d", "c", "h")], "artifact_id string, node_id string, group_id string")
+    rows, schema = [("d", "e1", "a", "b"), ("d", "e2", "a", "c"), ("d", "e3", "c", "c")], "artifact_id string, edge_id string, source_node_id string, target_node_id string"
+    edges, made = _counted(spark, rows, schema)
+    assert [(r.source_id, r.target_id, r.n_edges) for r in H.overview_aggregates(groups, nodes, edges).collect()] == [("g", "h", 1)]
+    assert made.value == 3
+    edges, made = _counted(spark, rows, schema)
+    focus = spark.createDataFrame([("d", "g")], "artifact_id string, focus_id string")
+    told = {(r.edge_id, r.source_id, r.target_id, r.original) for r in H.focus_group(groups, nodes, edges, focus).collect()}
+    assert told == {("e1", "a", "b", True), ("e2", "g", "h", False)}
+    assert made.value == 3
