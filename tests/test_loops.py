@@ -224,3 +224,36 @@ def test_overview_and_focus_make_their_edges_once(spark):
     told = {(r.edge_id, r.source_id, r.target_id, r.original) for r in H.focus_group(groups, nodes, edges, focus).collect()}
     assert told == {("e1", "a", "b", True), ("e2", "g", "h", False)}
     assert made.value == 3
+
+
+
+def test_routes_make_their_rules_once(spark):
+    from graphcat.operators import routes
+
+    edges = spark.createDataFrame([("a", "e", "r", "x"), ("a", "f", "x", "y"), ("a", "g", "r", "y"), ("a", "h", "r", "y")], "artifact_id string, edge_id string, source_node_id string, target_node_id string")
+    rows = [("a", "e", 0, "c", "1"), ("a", "f", 0, "c", "1"), ("a", "f", 1, "d", "2"), ("a", "h", 0, "c", "1"), ("a", "h", 0, "c", "2")]
+    requirements, made = _counted(spark, rows, "artifact_id string, edge_id string, rule_ix int, control_id string, value string")
+    node = lambda n: spark.createDataFrame([("a", n)], "artifact_id string, node_id string")
+    found = {(tuple(r.path), tuple(tuple(q) for q in r.requirements)) for r in routes.ancestor_routes(edges, requirements, node("r"), node("y")).collect()}
+    # h can't hold, g has no rules
+    assert found == {(("e", "f"), (("c", "1"),)), (("e", "f"), (("c", "1"), ("d", "2"))), (("g",), ())}
+    assert made.value == len(rows)
+
+
+
+def test_a_set_of_requirements_is_completed_once(spark, monkeypatch):
+    from graphcat.operators import routes
+
+    candidates = spark.range(50).select(F.lit("a").alias("artifact_id"), F.col("id").alias("route"), F.array(F.struct(F.lit("c").alias("control_id"), F.lit("1").alias("value"))).alias("requirements"))
+    needs = spark.createDataFrame([("a", "c", 0, "d", "2"), ("a", "c", 1, "e", "3")], "artifact_id string, control_id string, rule_ix int, req_control_id string, value string")
+    rows, before = [], routes.settled
+
+    def counted(df):
+        out = before(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(routes, "settled", counted)
+    got = {(r.route, tuple(tuple(q) for q in r.requirements)) for r in routes.with_prerequisites(candidates, needs).collect()}
+    assert got == {(i, (("c", "1"), q)) for i in range(50) for q in (("d", "2"), ("e", "3"))}
+    assert sum(n >= 50 for n in rows) == 1
