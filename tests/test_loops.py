@@ -257,3 +257,18 @@ def test_a_set_of_requirements_is_completed_once(spark, monkeypatch):
     got = {(r.route, tuple(tuple(q) for q in r.requirements)) for r in routes.with_prerequisites(candidates, needs).collect()}
     assert got == {(i, (("c", "1"), q)) for i in range(50) for q in (("d", "2"), ("e", "3"))}
     assert sum(n >= 50 for n in rows) == 1
+
+
+
+def test_clicks_make_their_rules_once(spark):
+    from graphcat.operators.selection import Gated
+
+    edges = spark.createDataFrame([("a", "e", "r", "x")], "artifact_id string, edge_id string, source_node_id string, target_node_id string")
+    requirements, made = _counted(spark, [("a", "e", 0, "c", "1")], "artifact_id string, edge_id string, rule_ix int, control_id string, value string")
+    controls = spark.createDataFrame([("a", "c", "branch", "r")], "artifact_id string, control_id string, type string, owner_node_id string")
+    needs = spark.createDataFrame([], "artifact_id string, control_id string, rule_ix int, req_control_id string, value string")
+    graph = Gated(edges, requirements, controls, needs, spark.createDataFrame([("a", "r")], "artifact_id string, node_id string"))
+    for value, nodes in (("1", {"r", "x"}), ("2", {"r"})):
+        selected = spark.createDataFrame([("a", "s", "c", value)], "artifact_id string, scenario_id string, control_id string, value string")
+        assert {r.node_id for r in graph.emphasis(selected)[0].collect()} == nodes
+    assert made.value == 1
