@@ -272,3 +272,26 @@ def test_clicks_make_their_rules_once(spark):
         selected = spark.createDataFrame([("a", "s", "c", value)], "artifact_id string, scenario_id string, control_id string, value string")
         assert {r.node_id for r in graph.emphasis(selected)[0].collect()} == nodes
     assert made.value == 1
+
+
+
+def test_few_keys_of_a_small_side_are_no_single_task(spark, tmp_path):
+    """All elements of one artifact, and a table of artifacts whose size is not known."""
+    from graphcat.operators import validate as V
+    from graphcat.plans import fixtures
+
+    for name in fixtures.STAR:
+        spark.range(10).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        fixtures.deal_out(spark, str(tmp_path))
+        spark.conf.set(names[0], 16)
+        elements = spark.range(5000).select(F.lit("dep").alias("artifact_id"), F.lit("edges").alias("element"), F.lit(0).alias("ordinal"), F.when(F.col("id") % 5 == 0, "message").otherwise("default").alias("type")).distinct().union(spark.range(1).select(F.lit("dep"), F.lit("nodes"), F.lit(1), F.lit("diamond")))
+        artifacts = spark.createDataFrame([("dep", "dependency-graph")], "artifact_id string, layout_id string")
+        found = V.element_type_contract(elements, artifacts)
+        assert len(found.collect()) == 2
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
