@@ -295,3 +295,21 @@ def test_few_keys_of_a_small_side_are_no_single_task(spark, tmp_path):
     finally:
         for n, value in before.items():
             spark.conf.set(n, value)
+
+
+
+def test_rules_are_multiplied_out_without_a_table_of_choices(spark, monkeypatch):
+    from graphcat.operators import folding
+
+    from .test_folding_and_contexts import CONDITIONS, ROWS, ruleset, table
+
+    made = folding.fold_controls(spark.createDataFrame(ROWS, CONDITIONS), [(table(spark, rules := {("a", "e"): [[("k2", "on"), ("p1", "on")]], ("a", "f"): [[("k1", "off"), ("k2", "on")]]}), "edge_id")])
+    written, before = [], folding.settled
+    monkeypatch.setattr(folding, "settled", lambda df: written.append(df.columns) or before(df))
+    new, never = made.rewritten(table(spark, rules), "edge_id")
+    assert ruleset(new, "artifact_id", "edge_id") == {
+        ("a", "e"): [[("k1", x), ("p1", "!open")] for x in ('"dark"', '"dim"', "otherwise")],
+        ("a", "f"): [[("k1", x)] for x in ('"dim"', "otherwise")],
+    }
+    assert never.count() == 0
+    assert len(written) == 2  # the requirements, and the rules made of them
