@@ -313,3 +313,27 @@ def test_rules_are_multiplied_out_without_a_table_of_choices(spark, monkeypatch)
     }
     assert never.count() == 0
     assert len(written) == 2  # the requirements, and the rules made of them
+
+
+
+def test_joined_partitions_of_a_shuffle_stay_small(spark, tmp_path):
+    """32 partitions of 0.75 MB each, of which Spark makes fewer tasks."""
+    from graphcat.plans import fixtures
+
+    for name in fixtures.STAR:
+        spark.range(10).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names[1:]:
+            spark.conf.unset(n)
+        fixtures.deal_out(spark, str(tmp_path))
+        spark.conf.set(names[0], 32)
+        noise = F.concat(*(F.unhex(F.sha2(F.concat("id", F.lit(f" {i}")), 256)) for i in range(64)))
+        parts = [r.p for r in spark.range(12 << 10).select("id", noise.alias("noise")).repartition("id").select(F.spark_partition_id().alias("p"), "noise").collect()]
+        assert len(parts) == 12 << 10
+        # 2 KB a row
+        assert max(parts.count(p) for p in set(parts)) * 2048 <= 4.5 * 2**20
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
