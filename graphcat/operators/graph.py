@@ -18,7 +18,8 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     out = settled(edges.select("artifact_id", F.col("source_id").alias("node_id"), "target_id").distinct())
 
     def step(frontier: DataFrame) -> DataFrame:
-        return frontier.join(out, ["artifact_id", "node_id"]).select("artifact_id", F.col("target_id").alias("node_id"))
+        # compressed files of few bytes can hold millions of rows, too many for each task to have them all
+        return frontier.join(out.hint("merge"), ["artifact_id", "node_id"]).select("artifact_id", F.col("target_id").alias("node_id"))
 
     found = closure(seeds.select("artifact_id", "node_id"), step, ["artifact_id", "node_id"], 100_000)
     discard(out)

@@ -337,3 +337,18 @@ def test_joined_partitions_of_a_shuffle_stay_small(spark, tmp_path):
     finally:
         for n, value in before.items():
             spark.conf.set(n, value)
+
+
+def test_reached_nodes_are_not_sent_to_all_tasks(spark, monkeypatch):
+    from graphcat import fixpoint
+    from graphcat.operators import rulesets as R
+
+    plans, before = [], fixpoint.settled
+    monkeypatch.setattr(fixpoint, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or before(df))
+    table = lambda schema, *rows: spark.createDataFrame(rows, schema)
+    needs = table("artifact_id string, control_id string, req_control_id string", ("a", "c", "d"), ("a", "e", "f"))
+    controls = table("artifact_id string, control_id string, owner_node_id string", *(("a", c, "gone" if c == "g" else "r") for c in "cdefg"))
+    needed = R.needed_controls(table("artifact_id string, control_id string", ("a", "c"), ("a", "g")), needs, controls, table("artifact_id string, node_id string", ("a", "r")))
+    assert sorted(r.control_id for r in needed.collect()) == ["c", "d"]
+    assert "SortMergeJoin" in needed._jdf.queryExecution().executedPlan().toString()
+    assert all("SortMergeJoin" in p for p in plans[1:])
