@@ -59,6 +59,25 @@ def test_rings_lose_the_latest_control(spark):
     assert kept == {("x", "y"), ("y", "z"), ("w", "x")}
 
 
+def test_overview_has_ids_members_and_originals(spark):
+    groups = [("d", "app", None), ("d", "pages", "app"), ("d", "api", None), ("d", "shared", None)]
+    groups = spark.createDataFrame([(a, g, g, up, False) for a, g, up in groups], "artifact_id string, group_id string, title string, parent_group_id string, synthetic boolean")
+    nodes = [("d", "app-a", "app"), ("d", "app-b", "app"), ("d", "page", "pages"), ("d", "api-file", "api"), ("d", "shared-file", "shared"), ("d", "root", None), ("plain", "a", None), ("plain", "b", None)]
+    nodes = spark.createDataFrame(nodes, "artifact_id string, node_id string, group_id string")
+    edges = [("app-a-to-api", "app-a", "api-file"), ("app-b-to-api", "app-b", "api-file"), ("page-to-api", "page", "api-file"), ("app-to-page", "app-a", "page"), ("app-to-app", "app-a", "app-b"), ('aggregate:["app","api"]', "api-file", "app-a"), ("root-to-api", "root", "api-file")]
+    # two edges of the same ends, in a graph without groups
+    edges = [("d", *e) for e in edges] + [("plain", "e1", "a", "b"), ("plain", "e2", "a", "b")]
+    edges = spark.createDataFrame(edges, "artifact_id string, edge_id string, source_node_id string, target_node_id string")
+    told = {(r.artifact_id, r.aggregate_id, r.source_id, r.target_id, r.n_edges, r.edge_id, r.original) for r in H.overview_aggregates(groups, nodes, edges).collect()}
+    assert told == {("d", 'aggregate:["app","api"]:', "app", "api", 3, e, False) for e in ("app-a-to-api", "app-b-to-api", "page-to-api")} | {
+        ("d", 'aggregate:["bundle:app","pages"]', "bundle:app", "pages", 1, "app-to-page", False),
+        ("d", 'aggregate:["api","app"]', "api", "app", 1, 'aggregate:["app","api"]', False),
+        ("d", 'aggregate:["root","api"]', "root", "api", 1, "root-to-api", False),
+        ("plain", None, "a", "b", 1, "e1", True),
+        ("plain", None, "a", "b", 1, "e2", True),
+    }
+
+
 def test_peeling_stops_at_loose_nodes_and_files(spark):
     groups = spark.createDataFrame([("a", "r", None, False), ("a", "s", "r", False), ("b", "r", None, False), ("b", "s", "r", False), ("c", "r", None, False), ("c", "x", None, True)], "artifact_id string, group_id string, parent_group_id string, synthetic boolean")
     nodes = spark.createDataFrame([("a", "n", "s"), ("b", "n", "s"), ("b", "m", None), ("c", "n", "r")], "artifact_id string, node_id string, group_id string")
