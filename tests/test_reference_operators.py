@@ -78,6 +78,20 @@ def test_overview_has_ids_members_and_originals(spark):
     }
 
 
+def test_stored_graph_has_rulesets_and_auxiliary_definitions(spark):
+    edges = spark.createDataFrame([("d", "e1"), ("d", "e2")], "artifact_id string, edge_id string")
+    rules = [("d", "e2", 1, 0, "c", "on"), ("d", "e2", 0, 1, "c", "off"), ("d", "e2", 0, 0, "b", "x")]
+    rules = spark.createDataFrame(rules, "artifact_id string, edge_id string, rule_ix int, req_ix int, control_id string, value string")
+    suppliers = spark.createDataFrame([("d", "A", "Title A"), ("d", "B", None), ("d", "C", "Title C"), ("other", "C", None)], "artifact_id string, definition_id string, title string")
+    nodes = spark.createDataFrame([("d", "C@0123456789abcdef")], "artifact_id string, node_id string")
+    stored, auxiliary = C.to_stored_graph(edges, rules, suppliers, nodes)
+    told = {r.edge_id: (r.type, r.active_when and [[tuple(q) for q in rule] for rule in r.active_when]) for r in stored.collect()}
+    assert told == {"e1": ("default", None), "e2": ("control", [[("b", "x"), ("c", "off")], [("c", "on")]])}
+    assert {tuple(r) for r in auxiliary.collect()} == {("d", "A", "Title A"), ("d", "B", "B"), ("other", "C", "C")}
+    got = entry.queries()["to_stored_graph"](spark, FOLDER).groupBy("element", "type").count().collect()
+    assert {(r[0], r[1]) for r in got} == {("edge", "control"), ("edge", "default"), ("auxiliary", None)}
+
+
 def test_peeling_stops_at_loose_nodes_and_files(spark):
     groups = spark.createDataFrame([("a", "r", None, False), ("a", "s", "r", False), ("b", "r", None, False), ("b", "s", "r", False), ("c", "r", None, False), ("c", "x", None, True)], "artifact_id string, group_id string, parent_group_id string, synthetic boolean")
     nodes = spark.createDataFrame([("a", "n", "s"), ("b", "n", "s"), ("b", "m", None), ("c", "n", "r")], "artifact_id string, node_id string, group_id string")
