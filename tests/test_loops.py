@@ -352,3 +352,16 @@ def test_reached_nodes_are_not_sent_to_all_tasks(spark, monkeypatch):
     assert sorted(r.control_id for r in needed.collect()) == ["c", "d"]
     assert "SortMergeJoin" in needed._jdf.queryExecution().executedPlan().toString()
     assert all("SortMergeJoin" in p for p in plans[1:])
+
+
+def test_small_files_of_many_rows_are_not_sent_to_all_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from graphcat.fixpoint import settled
+
+    made = settled(spark.range(1_000_000).select(F.concat(F.lit("cust:"), "id").alias("k"), F.lit(True).alias("known")))
+    few = settled(spark.range(100).select(F.concat(F.lit("cust:"), "id").alias("k"), "id"))
+    joined = lambda a, b: (settled(a.join(b, "k", "left")), spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription())
+    wide, plan = joined(made.withColumnRenamed("known", "also"), made)
+    assert wide.count() == 1_000_000 and "BroadcastHashJoin" not in plan
+    assert "BroadcastHashJoin" in joined(made, few)[1]
