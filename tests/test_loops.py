@@ -365,3 +365,30 @@ def test_small_files_of_many_rows_are_not_sent_to_all_tasks(spark):
     wide, plan = joined(made.withColumnRenamed("known", "also"), made)
     assert wide.count() == 1_000_000 and "BroadcastHashJoin" not in plan
     assert "BroadcastHashJoin" in joined(made, few)[1]
+
+
+def test_routes_are_shuffled_once_a_round(spark, monkeypatch):
+    from graphcat.operators import routes
+
+    edges = spark.createDataFrame([("a", f"{s}{t}", s, t) for s, t in ("rx", "xy", "ry", "yz")], "artifact_id string, edge_id string, source_node_id string, target_node_id string")
+    rules = [("a", "xy", 0, "c", "1"), ("a", "xy", 1, "d", "1"), ("a", "rx", 0, "c", "1"), ("a", "rx", 0, "d", "1")]
+    rules = spark.createDataFrame([(a, e, k if e == "xy" else 0, c, v) for a, e, k, c, v in rules], "artifact_id string, edge_id string, rule_ix int, control_id string, value string")
+    plans, before = [], routes.settled
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def told(df):
+        if "seen" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return before(df)
+
+    monkeypatch.setattr(routes, "settled", told)
+    try:
+        node = lambda n: spark.createDataFrame([("a", n)], "artifact_id string, node_id string")
+        found = [(tuple(r.path), tuple(tuple(q) for q in r.requirements)) for r in routes.ancestor_routes(edges, rules, node("r"), node("z")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # two rules of one edge come to the same requirements
+    assert sorted(found) == [(("rx", "xy", "yz"), (("c", "1"), ("d", "1"))), (("ry", "yz"), ())]
+    # routes, roots and steps
+    assert len(plans) > 2 and all(p.count("Exchange hashpartitioning") == 3 for p in plans[1:])
