@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixpoint import discard, settled
 from ..functions.exprs import dependency_edge_id, glob_regex, package_name, parent_path, source_href
 
 EXTERNAL = "group:external-packages"
@@ -122,10 +123,14 @@ def build_module_graph(candidates: DataFrame, inventory: DataFrame, manifests: D
     and local modules beyond them by package and directory, external packages in
     one group, dependencies of collected files."""
     scope = _key(candidates)
-    targets = classify_targets(choose_dependency(candidates), inventory)
-    targets = targets.join(inventory.select(*scope, F.col("path").alias("source")), [*scope, "source"], "left_semi")
+    # each is made once, and its shuffles go before those of the next
+    inventory = settled(inventory.select(*scope, "path").distinct())
+    sources = inventory.select(*scope, F.col("path").alias("source"))
+    chosen = settled(choose_dependency(candidates.join(sources, [*scope, "source"], "left_semi")))
+    targets = settled(classify_targets(chosen, inventory))
+    discard(chosen)
     outside = boundary_nodes(targets, inventory).withColumn("outside", F.lit(True))
-    files = nearest_package(inventory.select(*scope, "path").distinct().withColumn("outside", F.lit(False)).unionByName(outside), manifests)
+    files = settled(nearest_package(inventory.withColumn("outside", F.lit(False)).unionByName(outside), manifests))
     groups, own = local_grouping(files)
     local = files.join(own, [*scope, "path"], "left").select(*scope, F.concat(F.lit("file:"), "path").alias("node_id"), F.element_at(F.split("path", "/"), -1).alias("title"), "group_id", F.lit(False).alias("synthetic"), "outside", source_href("path").alias("href"))
     external = external_nodes(targets)

@@ -392,3 +392,16 @@ def test_routes_are_shuffled_once_a_round(spark, monkeypatch):
     assert sorted(found) == [(("rx", "xy", "yz"), (("c", "1"), ("d", "1"))), (("ry", "yz"), ())]
     # routes, roots and steps
     assert len(plans) > 2 and all(p.count("Exchange hashpartitioning") == 3 for p in plans[1:])
+
+
+def test_module_graph_makes_its_candidates_once(spark):
+    from graphcat.operators import modules as M
+
+    rows = [("s", "a/f", "p", "import", "b/g", False, False, False, False, True), ("s", "a/f", "q", "import", "node_modules/q/i.js", False, False, False, True, False), ("s", "lost", "p", "import", "b/h", False, False, False, False, True)]
+    candidates, made = _counted(spark, rows, "scope_id string, source string, specifier string, pass string, resolved string, could_not_resolve boolean, type_only boolean, core boolean, external boolean, boundary boolean")
+    inventory = spark.createDataFrame([("s", "a/f"), ("s", "a/e")], "scope_id string, path string")
+    manifests = spark.createDataFrame([("s", "b", "pack")], "scope_id string, directory string, name string")
+    nodes = M.build_module_graph(candidates, inventory, manifests)[1]
+    # what a file beyond the collection imports does not count
+    assert {(r.node_id, r.outside) for r in nodes.collect()} == {("file:a/f", False), ("file:a/e", False), ("file:b/g", True), ("external:q", None)}
+    assert made.value == len(rows)
