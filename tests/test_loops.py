@@ -405,3 +405,18 @@ def test_module_graph_makes_its_candidates_once(spark):
     # what a file beyond the collection imports does not count
     assert {(r.node_id, r.outside) for r in nodes.collect()} == {("file:a/f", False), ("file:a/e", False), ("file:b/g", True), ("external:q", None)}
     assert made.value == len(rows)
+
+
+def test_rewritten_rules_are_dealt_out_once(spark, monkeypatch):
+    from graphcat.operators import folding
+
+    from .test_folding_and_contexts import CONDITIONS, ROWS, table
+
+    rules = {("a", "e"): [[("k2", "on"), ("p1", "on")]], ("a", "f"): [[("k1", "off"), ("k2", "on")]]}
+    made = folding.fold_controls(spark.createDataFrame(ROWS, CONDITIONS), [(table(spark, rules), "edge_id")])
+    plans, before = [], folding.settled
+    monkeypatch.setattr(folding, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or before(df))
+    made.rewritten(table(spark, rules), "edge_id")
+    # subjects have a few rows, so requirements alone are dealt out, and literals of a subject gathered
+    assert len(plans) == 2 and "REPARTITION_BY_COL" in plans[1]
+    assert plans[1].count("Exchange hashpartitioning") <= 2
