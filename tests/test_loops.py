@@ -420,3 +420,11 @@ def test_rewritten_rules_are_dealt_out_once(spark, monkeypatch):
     # subjects have a few rows, so requirements alone are dealt out, and literals of a subject gathered
     assert len(plans) == 2 and "REPARTITION_BY_COL" in plans[1]
     assert plans[1].count("Exchange hashpartitioning") <= 2
+
+
+def test_visible_instances_are_joined_by_their_parent_only(spark):
+    rows = [("1", None, "a", 0, [0]), ("2", "1", "h", 1, [0, 0]), ("3", "2", "h", 2, [0, 0, 0]), ("4", "3", "b", 3, [0, 0, 0, 0]), ("5", "1", "c", 1, [0, 1]), ("6", "3", "d", 3, [0, 0, 0, 1])]
+    instances = spark.createDataFrame(rows, "instance_id string, parent_id string, definition_id string, depth int, way array<int>")
+    shown = C.visible_instances(instances, spark.createDataFrame([("h",)], "definition_id string"))
+    assert {(r.instance_id, r.parent_id, r.ordinal) for r in shown.collect()} == {("1", None, 0), ("4", "1", 0), ("6", "1", 1), ("5", "1", 2)}
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
